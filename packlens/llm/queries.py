@@ -1,8 +1,10 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from packlens.llm import dedup, jaccard, substrings
+from packlens.llm import bpe, dedup, jaccard, packing, substrings
 
 QUERIES = {
+    "op2_bpe_round_trip": bpe.op2,
+    "op5_packing": packing.op5,
     "op6_jaccard_join": jaccard.op6,
     "op7_exact_dedup": dedup.op7,
     "op10_substring_dedup": substrings.op10,
