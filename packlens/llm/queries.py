@@ -1,12 +1,14 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from packlens.llm import bpe, dedup, jaccard, packing, substrings
+from packlens.llm import bpe, dedup, fingerprint, jaccard, langid, packing, substrings
 
 QUERIES = {
+    "op1_language_id": langid.op1,
     "op2_bpe_round_trip": bpe.op2,
     "op5_packing": packing.op5,
     "op6_jaccard_join": jaccard.op6,
     "op7_exact_dedup": dedup.op7,
+    "op9_fingerprints": fingerprint.op9,
     "op10_substring_dedup": substrings.op10,
 }
 SQL = {"op7_exact_dedup": dedup.OP7_SQL}
