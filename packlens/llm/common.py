@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from packlens.session import ship
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -32,7 +35,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the plan runs once: its shuffle files can go as soon as the table stands
+    had = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if had is None else spark.conf.set(CLEAN, had)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
