@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import unicodedata
 import zlib
 from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -61,10 +63,37 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def encode_words(path: str, found: list[bytes]) -> list[list[int]]:
-    t, out = tokenizer(path), []
-    for i in range(0, len(found), 4096):
-        out += [e.ids for e in t.encode_batch([w.decode() for w in found[i : i + 4096]], add_special_tokens=False)]
+_ends: dict[str, np.ndarray] = {}
+_split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+LOT = 200  # words in one call
+
+
+def word_pieces(w: str) -> int:
+    """How many pre-tokens the vocabulary's splitter makes of a word."""
+    if w.isascii() and w.isalpha():
+        return 1
+    return len(_split.findall(unicodedata.normalize("NFC", w).lower()))
+
+
+def encode_words(path: str, found: list[bytes]) -> list[np.ndarray]:
+    """Ids of each word. Words go to the tokenizer in lots, joined by spaces; each pre-token ends in one piece that
+    ends a word, which tells the words apart again. A lot where that doesn't add up goes word by word."""
+    t = tokenizer(path)
+    if path not in _ends:
+        size = t.get_vocab_size()
+        _ends[path] = np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+    words = [w.decode() for w in found]
+    out: list[np.ndarray] = []
+    for i in range(0, len(words), LOT):
+        lot = words[i : i + LOT]
+        if not any("<|" in w for w in lot):
+            ids = np.array(t.encode_batch_fast([" ".join(lot)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(_ends[path][ids]) + 1
+            count = np.cumsum([word_pieces(w) for w in lot])
+            if len(stops) == count[-1] and (not len(ids) or stops[-1] == len(ids)):
+                out += np.split(ids, np.append(0, stops)[count[:-1]])
+                continue
+        out += [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(lot, add_special_tokens=False)]
     return out
 
 
@@ -123,7 +152,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         for p in pdf["payload"]:
             found = unpack(bytes(p)).split(b"\n")
             new = [w for w in found if w not in known]
-            known.update(zip(new, (" ".join(map(str, e)) for e in encode_words(path, new)), strict=True))
+            known.update(zip(new, (" ".join(map(str, e.tolist())) for e in encode_words(path, new)), strict=True))
             out.append(pack("\n".join([known[w] for w in found]).encode()))
         return pd.DataFrame({"chunk": pdf["chunk"], "owner": pdf["owner"], "payload": out})
 

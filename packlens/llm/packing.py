@@ -42,15 +42,19 @@ def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             n, out = [], []
-            for i in range(0, len(texts), 256):
-                rows = [(t or "").encode().split() for t in texts[i : i + 256]]
+            for i in range(0, len(texts), 1024):
+                rows = [(t or "").encode().split() for t in texts[i : i + 1024]]
                 need = {w for r in rows for w in r}
-                if len(_cache) + len(need) > CACHE_WORDS:
-                    _cache.clear()
                 new = [w for w in need if w not in _cache]
-                _cache.update(zip(new, (np.array(e, "<u4").tobytes() for e in encode_words(path, new)), strict=True))
+                fresh = dict(zip(new, (e.astype("<u4").tobytes() for e in encode_words(path, new)), strict=True))
+                if len(_cache) + len(fresh) <= CACHE_WORDS:  # the frequent words come first and stay
+                    _cache.update(fresh)
+                    known = _cache
+                else:
+                    fresh.update((w, _cache[w]) for w in need if w in _cache)
+                    known = fresh
                 for r in rows:
-                    raw = b"".join(map(_cache.__getitem__, r)) + end
+                    raw = b"".join(map(known.__getitem__, r)) + end
                     n.append(len(raw) // 4)
                     # high and low bytes apart: they compress better
                     out.append(pack(np.frombuffer(raw, np.uint8).reshape(-1, 4).T.tobytes()))
@@ -110,16 +114,17 @@ def packed_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     totals = {r["source"]: r["t"] for r in sizes.groupBy("source").agg(F.sum("t").alias("t")).collect()}  # a row for each source
     total = sum(totals.values())
     spark = docs.sparkSession
-    phases = spark.createDataFrame(shares(totals, mixture, window) or [], "source string, w0 long, c0 long, num long, den long")
-    phases = phases.join(spark.createDataFrame(list(totals.items()) or [], "source string, total long"), "source")
-    nxt = Window.partitionBy("source").orderBy("w0")
-    phases = phases.withColumn("c1", F.coalesce(F.lead("c0").over(nxt), "total"))
-    base = prefix_sums(sizes, ["source"], "block", "t", "base").drop("t")
+    phased: dict[str, list] = {}
+    for source, w0, c0, num, den in shares(totals, mixture, window):
+        phased.setdefault(source, []).append((w0, c0, num, den))
+    phased = [(s, [(*x, y[1]) for x, y in zip(v, [*v[1:], (0, totals[s])], strict=True)]) for s, v in phased.items()]
+    phases = spark.createDataFrame(phased, "source string, phases array<struct<w0: long, c0: long, num: long, den: long, c1: long>>")
+    base = prefix_sums(sizes, ["source"], "block", "t", "base").drop("t").join(phases, "source")
     inside = Window.partitionBy("source", "block").orderBy("id", "uid")
     queue = queue.withColumn("c", F.sum("n").over(inside) - F.col("n")).join(base, ["source", "block"])
-    queue = queue.select("uid", "source", "n", (F.col("base") + F.col("c")).alias("c"))
+    queue = queue.select("uid", "source", "n", (F.col("base") + F.col("c")).alias("c"), F.inline("phases"))
     # the part of the document in each phase, then in each window
-    p = queue.join(phases, "source").filter("c < c1 and c + n > c0").withColumns({"a": F.greatest("c", "c0"), "z": F.least(F.col("c") + F.col("n"), "c1")})
+    p = queue.filter("c < c1 and c + n > c0").withColumns({"a": F.greatest("c", "c0"), "z": F.least(F.col("c") + F.col("n"), "c1")})
     window_of = lambda t: f"((cast({t} - c0 + 1 as decimal(19,0)) * cast(den as decimal(19,0)) + num - 1) div num)"
     upto = lambda k: f"(c0 + ((cast({k} as decimal(19,0)) * cast(num as decimal(19,0))) div den))"
     p = p.withColumn("k", F.explode(F.expr(f"sequence({window_of('a')}, {window_of('(z - 1)')})")))
