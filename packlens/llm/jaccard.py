@@ -5,8 +5,9 @@ A document's set is its distinct word n-gram shingles. Documents link when 100 *
 1. Rows with equal sets form classes; one representative each goes on.
 2. Lossless grouping: sets of sizes near each other are cut into m segments by a hash of the shingle. Two linked
    sets differ in at most D shingles, so with m = D + k + 1 they agree on k + 1 segments. Rows that agree on a
-   segment meet at the smallest row with it (a minimum per key, combined before its shuffle), and connected rows
-   form a group. No pairs are emitted.
+   segment meet at the smallest row with it: signatures are dealt and sorted, a task walks over them and keeps a
+   spanning forest of the rows it saw meet (at most one edge a row), and connected rows form a group. No pairs are
+   emitted.
 3. In each group, cut into blocks of a bounded number of shingles, an inverted index answers T-occurrence queries:
    short lists are merged, candidates are probed in the long ones. Blocks of one group meet by sending the documents
    that are not yet in the group's largest component to the other blocks.
@@ -64,6 +65,36 @@ def segments(sets: Iterator[np.ndarray], percent: int) -> Iterator[np.ndarray]:
         yield np.concatenate(out)
 
 
+class Forest:
+    """Edges kept only where they join two trees: at most one for each node."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        some = a != b
+        if not some.any():
+            return
+        pairs = np.unique(np.stack([a[some], b[some]], 1), axis=0)
+        for x, y in pairs.tolist():
+            x, y = self.find(x), self.find(y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+
+    def edges(self, size: int = 1 << 16):
+        nodes = np.array(list(self.up), np.int64)
+        tops = np.array([self.find(x) for x in nodes.tolist()], np.int64)
+        for i in range(0, len(nodes), size):
+            yield nodes[i : i + size], tops[i : i + size]
+
+
 class DivideSkip:
     """Inverted lists over sets (sorted arrays); search() answers T-occurrence queries."""
 
@@ -75,7 +106,7 @@ class DivideSkip:
         tokens, self.posts = tokens[order], owner[order]
         self.tokens, first = np.unique(tokens, return_index=True)
         self.bounds = np.append(first, len(tokens))
-        self.sizes = sizes
+        self.sizes, self.sets = sizes, sets
 
     def search(self, x: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
         """The sets that share at least `need` (one or more) tokens with x, and how many they share."""
@@ -85,10 +116,10 @@ class DivideSkip:
         if len(at) < need:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         size = self.bounds[at + 1] - self.bounds[at]
-        order = np.argsort(size, kind="stable")
-        lists = [self.posts[self.bounds[i] : self.bounds[i + 1]] for i in at[order]]
-        n_long = need - 1
-        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        order = at[np.argsort(size, kind="stable")]
+        n_short = len(order) - (need - 1)
+        short = [self.posts[self.bounds[i] : self.bounds[i + 1]] for i in order[:n_short]]
+        long = order[n_short:]
         if sum(map(len, short)) <= 512:  # heap merge
             found, count = [], []
             for doc in heapq.merge(*(s.tolist() for s in short)):
@@ -100,7 +131,15 @@ class DivideSkip:
             found, count = np.array(found, np.int64), np.array(count, np.int64)
         else:  # the same merge, by sorting
             found, count = np.unique(np.concatenate(short), return_counts=True)
-        for left, posts in zip(range(len(long), 0, -1), long, strict=True):  # binary probes, shortest first
+        if len(found) <= len(long):  # binary probes of one document in all long lists
+            tokens = np.sort(self.tokens[long])
+            for j, doc in enumerate(found.tolist()):
+                own = self.sets[doc]
+                p = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
+                count[j] += int((own[p] == tokens).sum())
+            long = long[:0]
+        for left, i in zip(range(len(long), 0, -1), long, strict=True):  # of all documents in one list, shortest first
+            posts = self.posts[self.bounds[i] : self.bounds[i + 1]]
             keep = count + left >= need
             if not keep.all():
                 found, count = found[keep], count[keep]
@@ -151,31 +190,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row: id, n_shingles, component_id (smallest id reachable by links, its own included)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def keys(batches):
-        for b in batches:
-            n, k1, k2 = [], [], []
-            offs, data = tv.utf8(b.column("text"))
-            for x in tv.shingle_sets(offs, data, words):
-                n.append(len(x))
-                k1.append(tv.mix(x, 1).sum().astype(np.int64))
-                k2.append(np.bitwise_xor.reduce(tv.mix(x, 2)).astype(np.int64) if len(x) else 0)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["id", "n", "k1", "k2"])
-
     def signed(batches):
         for b in batches:
             offs, data = tv.utf8(b.column("text"))
-            each = list(segments(tv.shingle_sets(offs, data, words), percent))
-            lens = np.array([len(x) for x in each], np.int64)
-            own = b.column("id").take(pa.array(np.repeat(np.arange(len(each)), lens)))
-            sig = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
-            for i in range(0, len(sig), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[i : i + (1 << 16)]), own.slice(i, 1 << 16)], ["sig", "id"])
-
-    base = written(docs.mapInArrow(keys, "id long, n long, k1 long, k2 long"), "sets")
+            sets = list(tv.shingle_sets(offs, data, words))
+            n = [len(x) for x in sets]
+            k1 = [tv.mix(x, 1).sum().astype(np.int64) for x in sets]
+            k2 = [np.bitwise_xor.reduce(tv.mix(x, 2)).astype(np.int64) if len(x) else 0 for x in sets]
+            seen, none = set(), np.zeros(0, np.uint64)
+            # of equal sets in a batch one brings signatures; the class links the others
+            once = [none if key in seen or seen.add(key) else x for key, x in zip(zip(n, k1, k2, strict=True), sets, strict=True)]
+            each = list(segments(iter(once), percent))
+            flat = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
+            sigs = pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)]).astype(np.int32), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), sigs], ["id", "n", "k1", "k2", "sigs"])
+
+    def meetings(batches):
+        """Rows sorted by signature: links to the first id of each run, reduced to a forest in the task."""
+        forest, low, last = Forest(), None, None
+        for b in batches:
+            sig, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(sig):
+                continue
+            starts = np.flatnonzero(np.diff(sig, prepend=sig[0])) if last is not None and sig[0] == last else np.append(0, np.flatnonzero(np.diff(sig)) + 1)
+            lows = ids[starts]
+            if last is not None and sig[0] == last:
+                starts, lows = np.append(0, starts), np.append(low, lows)
+            to = np.repeat(lows, np.diff(starts, append=len(sig)))
+            forest.add(ids, to)
+            last, low = sig[-1], to[-1]
+        for a, b in forest.edges():
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    base = written(docs.mapInArrow(signed, "id long, n long, k1 long, k2 long, sigs array<long>"), "sets")
     classes = base.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    sigs = docs.mapInArrow(signed, "sig long, id long")
-    lists = sigs.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    meet = sigs.join(lists, "sig").filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sigs = base.select(F.explode("sigs").alias("sig"), "id").repartition(parts, "sig").sortWithinPartitions("sig", "id")
+    meet = sigs.mapInArrow(meetings, "a long, b long")
+    brought = base.filter("size(sigs) > 0").select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).filter("id <> rep")
+    meet = meet.union(brought.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     groups = written(components(meet).withColumnRenamed("component", "grp"), "groups")
     reps = classes.join(groups, F.col("rep") == groups["id"]).select("rep", "n", "grp")
     sizes = reps.groupBy("grp").agg(F.sum("n").alias("total"), F.count("*").alias("members")).filter("members > 1")
@@ -193,7 +246,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wide = parts.filter("blocks > 1")
     if not empty(wide):
         links = links.union(across(docs, wide, words, percent, block_shingles))
-    same = base.join(classes, ["n", "k1", "k2"])  # class of each row
+    same = base.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"])  # class of each row
     found = components(links).select(F.col("id").alias("rep"), "component")
     per_row = same.join(found, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     none = base.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
