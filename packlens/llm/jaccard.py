@@ -32,6 +32,8 @@ from packlens.llm.common import components, documents, empty, written
 
 #: Shingles that one block of a group holds at most, but for a single longer text.
 BLOCK_SHINGLES = 2_000_000
+#: Signatures that one task sorts and walks over, about.
+TASK_SIGNATURES = 3_000_000
 
 
 def size_classes(percent: int, most: int = 1 << 40) -> np.ndarray:
@@ -224,7 +226,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     base = written(docs.mapInArrow(signed, "id long, n long, k1 long, k2 long, sigs array<long>"), "sets")
     classes = base.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = base.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    parts = max(1, -(-total // TASK_SIGNATURES))
     sigs = base.select(F.explode("sigs").alias("sig"), "id").repartition(parts, "sig").sortWithinPartitions("sig", "id")
     meet = sigs.mapInArrow(meetings, "a long, b long")
     brought = base.filter("size(sigs) > 0").select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).filter("id <> rep")
@@ -234,7 +237,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = reps.groupBy("grp").agg(F.sum("n").alias("total"), F.count("*").alias("members")).filter("members > 1")
     members = reps.join(sizes, "grp").select("rep", "grp", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks"))
     members = members.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    texts = docs.join(members.withColumnRenamed("rep", "id"), "id")
+    texts = docs.join(members.withColumnRenamed("rep", "id").hint("merge"), "id")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
