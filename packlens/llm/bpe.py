@@ -68,33 +68,42 @@ _split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 LOT = 200  # words in one call
 
 
-def word_pieces(w: str) -> int:
+def word_pieces(w: bytes) -> int:
     """How many pre-tokens the vocabulary's splitter makes of a word."""
-    if w.isascii() and w.isalpha():
+    if w.isalpha():  # of ASCII letters
         return 1
-    return len(_split.findall(unicodedata.normalize("NFC", w).lower()))
+    t = w.decode()
+    if t.isalpha() and "\u0130" not in t:  # whose lower case has a mark
+        return 1
+    return len(_split.findall(unicodedata.normalize("NFC", t).lower()))
+
 
+def encode_words(path: str, found: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """The ids of all words in one array, and the bounds of each word in it.
 
-def encode_words(path: str, found: list[bytes]) -> list[np.ndarray]:
-    """Ids of each word. Words go to the tokenizer in lots, joined by spaces; each pre-token ends in one piece that
-    ends a word, which tells the words apart again. A lot where that doesn't add up goes word by word."""
+    Words go to the tokenizer in lots, joined by spaces; each pre-token ends in one piece that ends a word, which
+    tells the words apart again. A lot where that doesn't add up goes word by word."""
     t = tokenizer(path)
     if path not in _ends:
-        size = t.get_vocab_size()
-        _ends[path] = np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-    words = [w.decode() for w in found]
-    out: list[np.ndarray] = []
-    for i in range(0, len(words), LOT):
-        lot = words[i : i + LOT]
-        if not any("<|" in w for w in lot):
-            ids = np.array(t.encode_batch_fast([" ".join(lot)], add_special_tokens=False)[0].ids, np.uint32)
-            stops = np.flatnonzero(_ends[path][ids]) + 1
-            count = np.cumsum([word_pieces(w) for w in lot])
-            if len(stops) == count[-1] and (not len(ids) or stops[-1] == len(ids)):
-                out += np.split(ids, np.append(0, stops)[count[:-1]])
+        _ends[path] = np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(t.get_vocab_size())])
+    ends = _ends[path]
+    ids, lens = [], []
+    for i in range(0, len(found), LOT):
+        lot = found[i : i + LOT]
+        joined = b" ".join(lot)
+        if b"<|" not in joined:
+            own = np.array(t.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.append(0, np.flatnonzero(ends[own]) + 1)
+            count = np.cumsum(list(map(word_pieces, lot)))
+            if len(stops) == count[-1] + 1 and stops[-1] == len(own):
+                ids.append(own)
+                lens.append(np.diff(stops[count], prepend=0))
                 continue
-        out += [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(lot, add_special_tokens=False)]
-    return out
+        each = [e.ids for e in t.encode_batch_fast([w.decode() for w in lot], add_special_tokens=False)]
+        ids.append(np.array([x for e in each for x in e], np.uint32))
+        lens.append(np.array([len(e) for e in each]))
+    bounds = np.cumsum(np.concatenate([[0], *lens])).tolist()
+    return np.concatenate([np.zeros(0, np.uint32), *ids]), bounds
 
 
 def chunked(batches, size: int):
@@ -152,7 +161,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         for p in pdf["payload"]:
             found = unpack(bytes(p)).split(b"\n")
             new = [w for w in found if w not in known]
-            known.update(zip(new, (" ".join(map(str, e.tolist())) for e in encode_words(path, new)), strict=True))
+            ids, bounds = encode_words(path, new)
+            text = list(map(str, ids.tolist()))
+            known.update((w, " ".join(text[a:b])) for w, a, b in zip(new, bounds, bounds[1:], strict=False))
             out.append(pack("\n".join([known[w] for w in found]).encode()))
         return pd.DataFrame({"chunk": pdf["chunk"], "owner": pdf["owner"], "payload": out})
 
