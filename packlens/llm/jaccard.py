@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packlens.llm import textvec as tv
-from packlens.llm.common import components, documents, empty, written
+from packlens.llm.common import components, documents, written
+from packlens.llm.groups import Forest, grouped_links, meetings
 
 #: Shingles that one block of a group holds at most, but for a single longer text.
 BLOCK_SHINGLES = 2_000_000
@@ -67,36 +68,6 @@ def segments(sets: Iterator[np.ndarray], percent: int) -> Iterator[np.ndarray]:
         yield np.concatenate(out)
 
 
-class Forest:
-    """Edges kept only where they join two trees: at most one for each node."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        some = a != b
-        if not some.any():
-            return
-        pairs = np.unique(np.stack([a[some], b[some]], 1), axis=0)
-        for x, y in pairs.tolist():
-            x, y = self.find(x), self.find(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-
-    def edges(self, size: int = 1 << 16):
-        nodes = np.array(list(self.up), np.int64)
-        tops = np.array([self.find(x) for x in nodes.tolist()], np.int64)
-        for i in range(0, len(nodes), size):
-            yield nodes[i : i + size], tops[i : i + size]
-
-
 class DivideSkip:
     """Inverted lists over sets (sorted arrays); search() answers T-occurrence queries."""
 
@@ -153,6 +124,23 @@ class DivideSkip:
         return found[keep], count[keep]
 
 
+class JaccardIndex:
+    """What groups.search needs: items of texts, and the numbers of the held items that link with an item."""
+
+    def __init__(self, percent: int, words: int):
+        self.percent, self.words = percent, words
+
+    def items(self, texts: pd.Series) -> list[np.ndarray]:
+        offs, data = tv.utf8(pa.array(texts, pa.large_string()))
+        return list(tv.shingle_sets(offs, data, self.words))
+
+    def hold(self, items: list[np.ndarray]) -> None:
+        self.index = DivideSkip(items)
+
+    def linked(self, x: np.ndarray) -> np.ndarray:
+        return linked(self.index, x, self.percent)
+
+
 def linked(index: DivideSkip, x: np.ndarray, percent: int) -> np.ndarray:
     """Numbers of the indexed sets that link with x."""
     need = max(1, -(-percent * len(x) // 100))
@@ -160,34 +148,6 @@ def linked(index: DivideSkip, x: np.ndarray, percent: int) -> np.ndarray:
     return found[100 * both >= percent * (len(x) + index.sizes[found] - both)]
 
 
-def local_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The component number of each set. Sets already in the largest component need no search of their own:
-    a link between two components is found from whichever is not the largest."""
-    n = len(sets)
-    index = DivideSkip(sets)
-    label, size = np.arange(n), np.ones(n, np.int64)
-    largest = 0
-    for i in range(n):
-        if i and label[i] == largest and size[largest] > 1:
-            continue
-        hits = np.unique(label[linked(index, sets[i], percent)])
-        hits = hits[hits != label[i]]
-        if len(hits):
-            to = int(min(hits[0], label[i]))
-            merged = np.append(hits, label[i])
-            total = int(size[merged].sum())
-            label[np.isin(label, merged)] = to
-            size[to] = total
-            if total >= size[largest] or largest in merged:
-                largest = to
-    return label
-
-
-def sets_of(texts: pd.Series, words: int) -> list[np.ndarray]:
-    offs, data = tv.utf8(pa.array(texts, pa.large_string()))
-    return list(tv.shingle_sets(offs, data, words))
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links, its own included)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -207,23 +167,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             sigs = pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)]).astype(np.int32), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), sigs], ["id", "n", "k1", "k2", "sigs"])
 
-    def meetings(batches):
-        """Rows sorted by signature: links to the first id of each run, reduced to a forest in the task."""
-        forest, low, last = Forest(), None, None
-        for b in batches:
-            sig, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(sig):
-                continue
-            starts = np.flatnonzero(np.diff(sig, prepend=sig[0])) if last is not None and sig[0] == last else np.append(0, np.flatnonzero(np.diff(sig)) + 1)
-            lows = ids[starts]
-            if last is not None and sig[0] == last:
-                starts, lows = np.append(0, starts), np.append(low, lows)
-            to = np.repeat(lows, np.diff(starts, append=len(sig)))
-            forest.add(ids, to)
-            last, low = sig[-1], to[-1]
-        for a, b in forest.edges():
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
     base = written(docs.mapInArrow(signed, "id long, n long, k1 long, k2 long, sigs array<long>"), "sets")
     classes = base.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     total = base.agg(F.sum(F.size("sigs"))).first()[0] or 0
@@ -239,59 +182,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = members.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     texts = docs.join(members.withColumnRenamed("rep", "id").hint("merge"), "id")
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        label = local_components(sets_of(pdf["text"], words), percent)
-        return pd.DataFrame({"id": pdf["id"], "grp": pdf["grp"], "blocks": pdf["blocks"], "block": pdf["block"], "part": pdf["id"].to_numpy()[label]})
-
-    parts = written(texts.groupBy("grp", "block").applyInPandas(search, "id long, grp long, blocks int, block int, part long"), "parts")
-    links = parts.filter("id <> part").select(F.col("id").alias("a"), F.col("part").alias("b"))
-    wide = parts.filter("blocks > 1")
-    if not empty(wide):
-        links = links.union(across(docs, wide, words, percent, block_shingles))
-    same = base.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"])  # class of each row
+    links = grouped_links(texts, JaccardIndex(percent, words))
+    same = base.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"])  # the class of each row
     found = components(links).select(F.col("id").alias("rep"), "component")
     per_row = same.join(found, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     none = base.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return per_row.union(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def across(docs: DataFrame, parts: DataFrame, words: int, percent: int, block_shingles: int) -> DataFrame:
-    """Links between blocks of one group: first one document of each part of two or more, then every document that
-    is outside its group's largest component, sent to each other block."""
-    edges = None
-    label = parts.select("id", "grp", "blocks", "block", "part")
-    for step in ("first", "rest"):
-        count = label.groupBy("grp", "part").agg(F.count("*").alias("size"), F.min("id").alias("one"))
-        if step == "first":
-            asking = label.join(count.filter("size > 1"), ["grp", "part"]).filter("id = one").select("id", "grp", "blocks", "block", "part")
-        else:
-            top = count.groupBy("grp").agg(F.max_by("part", F.struct("size", "part")).alias("top"))
-            asking = label.join(top, "grp").filter("part <> top").select("id", "grp", "blocks", "block", "part")
-        n_ask = asking.groupBy("grp").agg(F.count("*").alias("asks"))
-        held = label.join(n_ask, "grp").withColumn("lots", F.ceil(F.col("asks") / 2000).cast("int"))
-        index = held.select("id", "grp", "block", "part", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"), F.lit(False).alias("asks"))
-        asked = asking.join(n_ask, "grp").withColumn("lots", F.ceil(F.col("asks") / 2000).cast("int"))
-        asked = asked.withColumn("lot", F.expr("cast(pmod(xxhash64(id, 7), lots) as int)"))
-        asked = asked.withColumn("to", F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b <> block)")))
-        asked = asked.select("id", "grp", F.col("to").alias("block"), "part", "lot", F.lit(True).alias("asks"))
-        rows = index.union(asked).join(docs, "id")
-
-        def probe(pdf: pd.DataFrame) -> pd.DataFrame:
-            mine, theirs = pdf[~pdf["asks"]].reset_index(drop=True), pdf[pdf["asks"]].reset_index(drop=True)
-            found = DivideSkip(sets_of(mine["text"], words))
-            own, out = mine["part"].to_numpy(), set()
-            for part, x in zip(theirs["part"], sets_of(theirs["text"], words), strict=True):
-                out |= {(int(part), int(p)) for p in np.unique(own[linked(found, x, percent)]) if p != part}
-            return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
-
-        new = written(rows.groupBy("grp", "block", "lot").applyInPandas(probe, "a long, b long"), "across")
-        edges = new if edges is None else edges.union(new)
-        merged = components(new).select(F.col("id").alias("part"), "component")
-        label = label.join(merged, "part", "left").select("id", "grp", "blocks", "block", F.coalesce("component", "part").alias("part"))
-    return edges
-
-
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return jaccard_components(docs, words=4, percent=85)

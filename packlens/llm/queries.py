@@ -1,10 +1,11 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from packlens.llm import bpe, dedup, fingerprint, jaccard, langid, packing, substrings
+from packlens.llm import bpe, dedup, fingerprint, jaccard, langid, packing, pii, substrings
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op2_bpe_round_trip": bpe.op2,
+    "op3_personal_data": pii.op3,
     "op5_packing": packing.op5,
     "op6_jaccard_join": jaccard.op6,
     "op7_exact_dedup": dedup.op7,
