@@ -159,7 +159,7 @@ _words: dict = {}
 
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with lang_pred, score, cross_entropy and rejected; `keep`: the columns of docs to return, else id only."""
+    """docs with __lang_pred, __score, __cross_entropy and __rejected; `keep`: the columns of docs to return, else id only."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     keep = keep or [id_col]
@@ -193,9 +193,9 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
                     sums.append(scores[np.fromiter(map(at.__getitem__, r), np.int64, len(r))].sum(0) if r and model.langs else np.zeros(scores.shape[1]))
             lang, sure, ce, rejected = model.judge(np.array(sums).reshape(len(texts), -1))
             cols = [b.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(ce, pa.float64()), pa.array(rejected, pa.bool_())], [*names, "lang_pred", "score", "cross_entropy", "rejected"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(ce, pa.float64()), pa.array(rejected, pa.bool_())], [*names, "__lang_pred", "__score", "__cross_entropy", "__rejected"])
 
-    out = schema.add("lang_pred", "string").add("score", "double").add("cross_entropy", "double").add("rejected", "boolean")
+    out = schema.add("__lang_pred", "string").add("__score", "double").add("__cross_entropy", "double").add("__rejected", "boolean")
     return docs.mapInArrow(score, out)
 
 
@@ -207,4 +207,4 @@ def op1(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs.filter(~held_out()).select(F.col("doc_id").alias("id"), "text", "lang"))
     out = predicted(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    return out.select("doc_id", held_out().alias("held_out"), *(F.col(f"__{c}").alias(c) for c in ("lang_pred", "score", "cross_entropy", "rejected")))
