@@ -180,7 +180,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = reps.groupBy("grp").agg(F.sum("n").alias("total"), F.count("*").alias("members")).filter("members > 1")
     members = reps.join(sizes, "grp").select("rep", "grp", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks"))
     members = members.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    texts = docs.join(members.withColumnRenamed("rep", "id").hint("merge"), "id")
+    texts = written(docs.join(members.withColumnRenamed("rep", "id").hint("merge"), "id"), "members")
 
     links = grouped_links(texts, JaccardIndex(percent, words))
     same = base.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"])  # the class of each row
