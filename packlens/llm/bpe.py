@@ -16,8 +16,9 @@ ids are separate rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import unicodedata
+import re
 import zlib
 from collections import OrderedDict
 
@@ -63,47 +64,73 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-_ends: dict[str, np.ndarray] = {}
-_split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_lean: dict = {}
+_ascii = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_latin = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_unsafe = regex.compile("[\x00-\x20\x7f-\xa0\u0130\u0180-\U0010ffff]")
 LOT = 200  # words in one call
 
 
-def word_pieces(w: bytes) -> int:
-    """How many pre-tokens the vocabulary's splitter makes of a word."""
-    if w.isalpha():  # of ASCII letters
-        return 1
+def _plain(b: bytes) -> bool:
+    return b.isascii() and b.decode().isprintable()
+
+
+def lean(path: str):
+    """The vocabulary's merges alone, for pre-tokens that were normalised and cut here; which ids end a pre-token; and
+    the characters that stand for bytes."""
+    if path not in _lean:
+        from tokenizers import Tokenizer
+
+        t = tokenizer(path)
+        d = json.loads(t.to_str())
+        d["normalizer"], d["added_tokens"], d["pre_tokenizer"] = None, [], {"type": "WhitespaceSplit"}
+        ends = np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(t.get_vocab_size())])
+        # the byte alphabet: printable bytes stand for themselves, the others take the code points from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        _lean[path] = Tokenizer.from_str(json.dumps(d)), ends, {b: 256 + n for n, b in enumerate(hidden) if b != 32}
+    return _lean[path]
+
+
+def pre_tokens(w: bytes) -> list[bytes] | None:
+    """A word as the vocabulary's normaliser and splitter cut it; None for rare scripts and marks."""
+    if w.isascii():
+        w = w.lower()
+        return [w] if w.isalpha() else None if b"<|" in w else _ascii.findall(w)
     t = w.decode()
-    if t.isalpha() and "\u0130" not in t:  # whose lower case has a mark
-        return 1
-    return len(_split.findall(unicodedata.normalize("NFC", t).lower()))
+    if _unsafe.search(t) or "<|" in t:
+        return None
+    t = t.lower()
+    return [t.encode()] if t.isalpha() else [x.encode() for x in _latin.findall(t)]
 
 
 def encode_words(path: str, found: list[bytes]) -> tuple[np.ndarray, list[int]]:
     """The ids of all words in one array, and the bounds of each word in it.
 
-    Words go to the tokenizer in lots, joined by spaces; each pre-token ends in one piece that ends a word, which
-    tells the words apart again. A lot where that doesn't add up goes word by word."""
-    t = tokenizer(path)
-    if path not in _ends:
-        _ends[path] = np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(t.get_vocab_size())])
-    ends = _ends[path]
+    Words are cut into pre-tokens here and merged in lots; each pre-token ends in one id that ends a word, which tells
+    them apart again. Words of rare scripts or with special tokens go to the whole tokenizer, one by one."""
+    merges, ends, chars = lean(path)
     ids, lens = [], []
     for i in range(0, len(found), LOT):
-        lot = found[i : i + LOT]
-        joined = b" ".join(lot)
-        if b"<|" not in joined:
-            own = np.array(t.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.uint32)
-            stops = np.append(0, np.flatnonzero(ends[own]) + 1)
-            count = np.cumsum(list(map(word_pieces, lot)))
-            if len(stops) == count[-1] + 1 and stops[-1] == len(own):
-                ids.append(own)
-                lens.append(np.diff(stops[count], prepend=0))
-                continue
-        each = [e.ids for e in t.encode_batch_fast([w.decode() for w in lot], add_special_tokens=False)]
-        ids.append(np.array([x for e in each for x in e], np.uint32))
-        lens.append(np.array([len(e) for e in each]))
-    bounds = np.cumsum(np.concatenate([[0], *lens])).tolist()
-    return np.concatenate([np.zeros(0, np.uint32), *ids]), bounds
+        cut = [pre_tokens(w) for w in found[i : i + LOT]]
+        own = b" ".join([x for c in cut if c for x in c])
+        text = own.decode() if _plain(own) else own.decode("latin-1").translate(chars)
+        got = np.array(merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.append(0, np.flatnonzero(ends[got]) + 1)
+        count = np.cumsum([len(c) if c else 0 for c in cut])
+        if len(stops) != count[-1] + 1 or stops[-1] != len(got):
+            raise ValueError("the vocabulary's pre-tokens do not end in word ends")
+        length = np.diff(stops[count], prepend=0)
+        odd = [k for k, c in enumerate(cut) if c is None]
+        if odd:
+            parts = np.split(got, stops[count][:-1])
+            for k, e in zip(odd, tokenizer(path).encode_batch_fast([found[i + k].decode() for k in odd], add_special_tokens=False), strict=True):
+                parts[k] = np.array(e.ids, np.uint32)
+                length[k] = len(e.ids)
+            got = np.concatenate(parts)
+        ids.append(got)
+        lens.append(length)
+    return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum(np.concatenate([[0], *lens])).astype(int).tolist()
 
 
 def chunked(batches, size: int):

@@ -40,25 +40,24 @@ def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         uid = TaskContext.get().partitionId() << 36
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-            need: set[bytes] = set()
-            for t in texts:
-                need.update(t.split())
-            new = [w for w in need if w not in _cache]
-            ids, bounds = encode_words(path, new)
-            raw = ids.astype("<u4").tobytes()
-            known = {w: raw[4 * i : 4 * j] for w, i, j in zip(new, bounds, bounds[1:], strict=False)}
-            if len(_cache) + len(known) <= CACHE_WORDS:  # the frequent words come first and stay
-                _cache.update(known)
-                known = _cache
-            else:
-                known.update((w, _cache[w]) for w in need if w in _cache)
-            n, out = [], []
-            for t in texts:
-                raw = b"".join(map(known.__getitem__, t.split())) + end
-                n.append(len(raw) // 4)
-                # high and low bytes apart: they compress better
-                out.append(pack(np.frombuffer(raw, np.uint8).reshape(-1, 4).T.tobytes()))
+            texts, n, out = b.column("text").to_pylist(), [], []
+            for i in range(0, len(texts), 1024):
+                rows = [(t or "").encode().split() for t in texts[i : i + 1024]]
+                need = set().union(*rows)
+                new = [w for w in need if w not in _cache]
+                ids, bounds = encode_words(path, new)
+                raw = ids.astype("<u4").tobytes()
+                known = {w: raw[4 * x : 4 * y] for w, x, y in zip(new, bounds, bounds[1:], strict=False)}
+                if len(_cache) + len(known) <= CACHE_WORDS:  # the frequent words come first and stay
+                    _cache.update(known)
+                    known = _cache
+                else:
+                    known.update((w, _cache[w]) for w in need if w in _cache)
+                for r in rows:
+                    raw = b"".join(map(known.__getitem__, r)) + end
+                    n.append(len(raw) // 4)
+                    # high and low bytes apart: they compress better
+                    out.append(pack(np.frombuffer(raw, np.uint8).reshape(-1, 4).T.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(n))), b.column("id"), b.column("source"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["uid", "id", "source", "n", "packed"])
             uid += len(n)
 
