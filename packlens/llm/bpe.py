@@ -163,8 +163,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             counts, codes = [], []
             for t in rows:
                 found = t.split()
-                for w in set(found) - table.keys():
-                    table[w] = len(table)
+                for w in set(found):
+                    if w not in table:
+                        table[w] = len(table)
                 codes.append(np.fromiter(map(table.__getitem__, found), np.int32, len(found)))
                 counts.append(len(found))
             every = list(table)

@@ -177,10 +177,10 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             texts = b.column("__text").to_pylist()
             for i in range(0, len(texts), 256):
                 rows = [LETTERS.findall(t.lower()) if t else [] for t in texts[i : i + 256]]
-                new = list({w for r in rows for w in r} - _words["at"].keys())
+                new = [w for w in set().union(*rows) if w not in _words["at"]]
                 if new and len(_words["at"]) + len(new) > CACHE_WORDS:
                     _words["at"] = {}
-                    new = list({w for r in rows for w in r})
+                    new = list(set().union(*rows))
                 at = _words["at"]
                 if new and model.langs:
                     n = len(at)
