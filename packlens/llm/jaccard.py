@@ -32,7 +32,7 @@ from packlens.llm.common import components, documents, written
 from packlens.llm.groups import Forest, grouped_links, meetings
 
 #: Shingles that one block of a group holds at most, but for a single longer text.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 400_000
 #: Signatures that one task sorts and walks over, about.
 TASK_SIGNATURES = 3_000_000
 
