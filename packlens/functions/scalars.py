@@ -70,7 +70,8 @@ def last_speed(text: Column) -> Column:
 
 
 def bitmask(n: Column) -> Column:
-    return F.when(n >= 64, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1)
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - n).cast("int"))
+    return F.when(n <= 0, F.lit(0).cast("long")).when(n >= 64, F.lit(-1).cast("long")).otherwise(ones)
 
 
 def is_chunked(size: Column, chunk: int) -> Column:

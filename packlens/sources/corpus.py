@@ -17,9 +17,10 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.inline("mods")).withColumn("ord", F.monotonically_increasing_id()).repartition(spark.sparkContext.defaultParallelism)
 
 
-def write_corpus(mods: DataFrame, path: str) -> None:
-    """One JSON object a mod, zstd-compressed, written in parallel."""
-    mods.write.option("compression", "zstd").mode("error").json(path)
+def write_corpus(mods: DataFrame, path: str, form: str = "parquet") -> None:
+    """One row a mod, written in parallel: Parquet with zstd, or JSON objects with gzip (Spark's JSON writer has no
+    zstd without native Hadoop libraries)."""
+    mods.write.option("compression", "zstd" if form == "parquet" else "gzip").mode("error").format(form).save(path)
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
@@ -30,8 +31,8 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
 def directory(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     """Regular files below path: relative path, length and, on demand, content (else it isn't read)."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = F.lit(path.rstrip("/").removeprefix("file://") + "/")
-    relative = F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), root, -1)
+    root = path.rstrip("/").removeprefix("file://") + "/"
+    relative = F.substr("path", F.locate(root, F.col("path")) + len(root))
     return rows.select(relative.alias("path"), F.col("length").alias("size"), *(["content"] if content else []))
 
 

@@ -40,7 +40,7 @@ def test_bucket_outside_stays_in_denominator(spark):
 def test_expressions(spark):
     assert one(spark, ["Test Mod", "Mod@#$%Name", "Simple-Mod_123", "___Leading Trailing___"], "string", S.sanitize_name) == ["Test_Mod", "Mod____Name", "Simple-Mod_123", "Leading_Trailing"]
     assert one(spark, ["a.txt", ".gitignore", "a/.gitignore", "dir.v1/file", "x.", "a.b.c", "noext"], "string", S.extension) == ["txt", "", "gitignore", "v1/file", "", "c", ""]
-    assert one(spark, [0, 512, 1000, 1023, 1500, 1.5e6, 1e12, 10.5, 10.4], "double", S.byte_size) == ["0B", "512B", "1kB", "1kB", "2kB", "2MB", "1TB", "11B", "10B"]
+    assert one(spark, [0.0, 512.0, 1000.0, 1023.0, 1500.0, 1.5e6, 1e12, 10.5, 10.4], "double", S.byte_size) == ["0B", "512B", "1kB", "1kB", "2kB", "2MB", "1TB", "11B", "10B"]
     assert one(spark, [0, 1, 8, 63, 64], "int", S.bitmask) == [0, 1, 255, 2**63 - 1, -1]
     assert one(spark, ["x 12.5 MB/s 13.25 MB/s", "none"], "string", S.last_speed) == [13.25, None]
     assert one(spark, [100, 200, 300, 1000, 1001], "int", lambda x: F.lit(1000) >= x) == [True, True, True, True, False]
@@ -50,7 +50,7 @@ def test_expressions(spark):
 def test_settings():
     assert [S.Settings(chunk_size=x).sanitized().chunk_size for x in (1073741825, 2**32 - 1)] == [2**29, 2**29]
     assert S.Settings(chunk_size=0, solid_size=0).sanitized().chunk_size == 32768
-    assert [S.Settings(solid_size=x).sanitized().solid_size for x in (16777216, 2**32 - 1, 4094, 0, 1048576)] == [16777215, 16777215, 4095, 0, 2097151]
+    assert [S.Settings(solid_size=x).sanitized().solid_size for x in (16777216, 2**32 - 1, 4094, 0, 1048576)] == [16777215, 16777215, 4095, 0, 1048575]
     assert [S.Settings(solid_level=x).sanitized().solid_level for x in (23, 0, -(2**31))] == [22, 0, -5]
     assert [S.Settings(solid_codec="lz4", solid_level=x).sanitized().solid_level for x in (13, 0)] == [12, 1]
 
@@ -134,7 +134,7 @@ def test_sources(spark, tmp_path):
     mod = corpus.read_corpus(spark, str(doc)).first()
     assert (mod.id, mod.original_archive_size, mod.files[0].compressed_size) == ("test-123", 12345, 80)
     corpus.write_corpus(corpus.read_corpus(spark, str(doc)), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
 def norm(v):
