@@ -8,6 +8,7 @@ A document's set is its distinct word n-gram shingles. Documents link when 100 *
    segment meet at the smallest row with it: signatures are dealt and sorted, a task walks over them and keeps a
    spanning forest of the rows it saw meet (at most one edge a row), and connected rows form a group. No pairs are
    emitted.
+   Groups above a block's size are cut again, by prefixes under the exact frequency order of their own shingles.
 3. In each group, cut into blocks of a bounded number of shingles, an inverted index answers T-occurrence queries:
    short lists are merged, candidates are probed in the long ones. Blocks of one group meet by sending the documents
    that are not yet in the group's largest component to the other blocks.
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packlens.llm import textvec as tv
-from packlens.llm.common import components, documents, written
+from packlens.llm.common import components, documents, empty, written
 from packlens.llm.groups import Forest, grouped_links, meetings
 
 #: Shingles that one block of a group holds at most, but for a single longer text.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 2_000_000
 #: Signatures that one task sorts and walks over, about.
 TASK_SIGNATURES = 3_000_000
 
@@ -148,6 +149,32 @@ def linked(index: DivideSkip, x: np.ndarray, percent: int) -> np.ndarray:
     return found[100 * both >= percent * (len(x) + index.sizes[found] - both)]
 
 
+def refined(docs: DataFrame, reps: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
+    """Groups above the limit, cut by prefixes: with the shingles of such groups ordered by how many of their texts
+    hold them, linked sets share one of their first size - need + 1 shingles. Rows that share one stay together."""
+    wide = written(reps.join(reps.groupBy("grp").agg(F.sum("n").alias("t")).filter(F.col("t") > limit).drop("t"), "grp"), "wide")
+    if empty(wide):
+        return reps
+
+    def shingles(batches):
+        for b in batches:
+            offs, data = tv.utf8(b.column("text"))
+            for i, n, x in zip(b.column("id").to_pylist(), b.column("n").to_pylist(), tv.shingle_sets(offs, data, words), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(x), i)), pa.array(np.full(len(x), n))], ["token", "id", "n"])
+
+    held = written(docs.join(wide.select(F.col("rep").alias("id"), "n").hint("merge"), "id").mapInArrow(shingles, "token long, id long, n long"), "shingles")
+    often = held.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    # shingles that one text holds come first and lead nowhere: only their number counts
+    shared = held.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
+    keys = shared.select(F.explode(F.slice("s", 1, F.greatest(F.lit(0), first.cast("int")))).alias("x"), "id").select("x.token", "id")
+    parts = max(1, -(-keys.count() // TASK_SIGNATURES))
+    meet = keys.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(meetings, "a long, b long")
+    again = components(meet).select(F.col("id").alias("rep"), F.col("component").alias("to"))
+    cut = wide.join(again, "rep", "left").select("rep", "n", F.coalesce("to", "rep").alias("grp"))
+    return written(reps.join(wide.select("rep"), "rep", "left_anti").select("rep", "n", "grp").union(cut), "refined")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links, its own included)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -177,6 +204,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     meet = meet.union(brought.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     groups = written(components(meet).withColumnRenamed("component", "grp"), "groups")
     reps = classes.join(groups, F.col("rep") == groups["id"]).select("rep", "n", "grp")
+    reps = refined(docs, reps, words, percent, block_shingles)
     sizes = reps.groupBy("grp").agg(F.sum("n").alias("total"), F.count("*").alias("members")).filter("members > 1")
     members = reps.join(sizes, "grp").select("rep", "grp", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks"))
     members = members.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
