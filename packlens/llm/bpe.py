@@ -60,6 +60,15 @@ def pack(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(data)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Four-byte numbers with their first bytes together, then their second, and so on: they compress better."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
@@ -168,14 +177,20 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                         table[w] = len(table)
                 codes.append(np.fromiter(map(table.__getitem__, found), np.int32, len(found)))
                 counts.append(len(found))
+            flat = np.concatenate(codes)
+            order = np.argsort(-np.bincount(flat, minlength=len(table)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(table), np.int32)
+            rank[order] = np.arange(len(table))
+            codes = [rank[c] for c in codes]
             every = list(table)
+            every = [every[i] for i in order]
             owner = np.array([zlib.crc32(w) % owners for w in every], np.int32)
-            out = {"chunk": [part + seq], "owner": [-1], "payload": [pack(np.concatenate(codes).tobytes())], "owned": [pack(owner.tobytes())], "ids": [ids], "counts": [counts]}
-            order = np.argsort(owner, kind="stable")
-            bounds = np.searchsorted(owner[order], np.arange(owners + 1))
+            out = {"chunk": [part + seq], "owner": [-1], "payload": [pack(planes(np.concatenate(codes)))], "owned": [pack(owner.tobytes())], "ids": [ids], "counts": [counts]}
+            turn = np.argsort(owner, kind="stable")
+            bounds = np.searchsorted(owner[turn], np.arange(owners + 1))
             for o in range(owners):
                 if bounds[o] < bounds[o + 1]:
-                    mine = [every[i] for i in order[bounds[o] : bounds[o + 1]]]
+                    mine = [every[i] for i in turn[bounds[o] : bounds[o + 1]]]
                     for k, v in (("chunk", part + seq), ("owner", o), ("payload", pack(b"\n".join(mine))), ("owned", None), ("ids", None), ("counts", None)):
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("chunk", pa.int64()), ("owner", pa.int32()), ("payload", pa.binary()), ("owned", pa.binary()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))]))
@@ -184,18 +199,21 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     sent = written(docs.mapInArrow(split, fields), "words")
 
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[bytes, str] = {}
+        known: dict[bytes, bytes] = {}
         out = []
         for p in pdf["payload"]:
             found = unpack(bytes(p)).split(b"\n")
             new = [w for w in found if w not in known]
             ids, bounds = encode_words(path, new)
-            text = list(map(str, ids.tolist()))
-            known.update((w, " ".join(text[a:b])) for w, a, b in zip(new, bounds, bounds[1:], strict=False))
-            out.append(pack("\n".join([known[w] for w in found]).encode()))
+            raw = ids.astype("<u4").tobytes()
+            known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(new, bounds, bounds[1:], strict=False))
+            each = [known[w] for w in found]
+            lens = np.array([len(e) // 4 for e in each], "<u4")
+            out.append(pack(planes(np.concatenate([lens, np.frombuffer(b"".join(each), "<u4")]))))
         return pd.DataFrame({"chunk": pdf["chunk"], "owner": pdf["owner"], "payload": out})
 
     answers = sent.filter("owner >= 0").select("chunk", "owner", "payload").groupBy("owner").applyInPandas(encode, "chunk long, owner int, payload binary")
+    answers = written(answers, "answers")  # frees the words' shuffle
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("owner", "payload")).alias("answers"))
     met = sent.filter("owner < 0").drop("owner").join(answers, "chunk", "left")
 
@@ -207,11 +225,14 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                 owner = np.frombuffer(unpack(r["owned"]), np.int32)
                 ids: list[str] = [""] * len(owner)
                 for a in r["answers"] or ():
-                    for at, e in zip(np.flatnonzero(owner == a["owner"]).tolist(), unpack(a["payload"]).decode().split("\n"), strict=True):
-                        ids[at] = e
+                    at = np.flatnonzero(owner == a["owner"])
+                    got = from_planes(unpack(a["payload"]))
+                    text, ends = list(map(str, got[len(at) :].tolist())), np.cumsum(got[: len(at)]).tolist()
+                    for k, x, y in zip(at.tolist(), [0, *ends], ends, strict=False):
+                        ids[k] = " ".join(text[x:y])
                 length = np.array([e.count(" ") + 1 if e else 0 for e in ids], np.int64)
                 dec = [" ".join([piece[int(i)] for i in e.split(" ")]) if e else "" for e in ids]
-                codes = np.frombuffer(unpack(r["payload"]), np.int32)
+                codes = from_planes(unpack(r["payload"]))
                 blank = bool((length == 0).any())
                 cols: list[list] = [[], [], [], [], [], []]
                 at = 0
