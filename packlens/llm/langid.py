@@ -112,7 +112,7 @@ class Model:
             ce, n = -s[:, k] / s[:, -1], s[:, -1]
             mean = float((ce * n).sum() / n.sum())
             # deviation for each letter, and between texts
-            self.limits.append((mean, z * float(np.sqrt(((ce - mean) ** 2 * n).mean())), z * float(ce[n > np.median(n)].std() if len(n) > 3 else 0.1)))
+            self.limits.append((mean, z * float(np.sqrt(((ce - mean) ** 2 * n).mean())), z * float(ce[n >= np.median(n)].std() if len(n) > 3 else 0.1)))
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Per word: the log-probability in each language, and the number of letters and end marks."""

@@ -60,7 +60,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], data
 
 
-def pieces(offs: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(offs: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes; a longer row stands alone."""
     i, n = 0, len(offs) - 1
     while i < n:
