@@ -78,7 +78,7 @@ def local_components(items: list, index) -> np.ndarray:
             if i and label[i] == np.argmax(size) and size[label[i]] > 1:
                 continue
             asked[i] = True
-            hits = np.unique(label[index.linked(items[i])])
+            hits = np.unique(label[index.linked(items[i], label, label[i])])
             if len(hits := hits[hits != label[i]]):
                 merged = np.append(hits, label[i])
                 to, total = int(merged.min()), int(size[merged].sum())
@@ -91,7 +91,8 @@ def local_components(items: list, index) -> np.ndarray:
 
 def grouped_links(rows: DataFrame, index) -> DataFrame:
     """rows: id (long, unique), grp, blocks (int), block (int), text. Edges (a, b) whose components are those of all
-    links inside each group. index: items(texts), hold(items), linked(item)."""
+    links inside each group. index: items(texts), hold(items), linked(item, label, own): held items that link with the
+    item, which may leave out those of label `own` and, of each other label, all but one."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
@@ -130,7 +131,7 @@ def across(texts: DataFrame, parts: DataFrame, index) -> DataFrame:
             index.hold(index.items(mine["text"]))
             own, out = mine["part"].to_numpy(), set()
             for part, x in zip(theirs["part"], index.items(theirs["text"]), strict=True):
-                out |= {(int(part), int(p)) for p in np.unique(own[index.linked(x)]) if p != part}
+                out |= {(int(part), int(p)) for p in np.unique(own[index.linked(x, own, part)]) if p != part}
             return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
         new = written(rows.groupBy("grp", "block", "lot").applyInPandas(probe, "a long, b long"), "across")

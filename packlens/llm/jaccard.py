@@ -138,7 +138,7 @@ class JaccardIndex:
     def hold(self, items: list[np.ndarray]) -> None:
         self.index = DivideSkip(items)
 
-    def linked(self, x: np.ndarray) -> np.ndarray:
+    def linked(self, x: np.ndarray, label: np.ndarray | None = None, own: int | None = None) -> np.ndarray:
         return linked(self.index, x, self.percent)
 
 
