@@ -16,6 +16,8 @@ from packlens.llm.common import components, empty, written
 
 #: Rows that are sent to a block at once.
 ASKS = 2000
+#: Bytes of text of small groups that are searched in one call, about.
+LOT_BYTES = 1_000_000
 
 
 class Forest:
@@ -95,11 +97,18 @@ def grouped_links(rows: DataFrame, index) -> DataFrame:
     item, which may leave out those of label `own` and, of each other label, all but one."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        label = local_components(index.items(pdf["text"]), index)
-        return pd.DataFrame({"id": pdf["id"], "grp": pdf["grp"], "blocks": pdf["blocks"], "block": pdf["block"], "part": pdf["id"].to_numpy()[label]})
-
-    parts = written(rows.groupBy("grp", "block").applyInPandas(search, "id long, grp long, blocks int, block int, part long"), "parts")
+        pdf = pdf.sort_values(["grp", "id"], ignore_index=True)
+        items, grp, ids = index.items(pdf["text"]), pdf["grp"].to_numpy(), pdf["id"].to_numpy()
+        starts = np.append(0, np.flatnonzero(np.diff(grp)) + 1)
+        part = np.concatenate([ids[i:j][local_components(items[i:j], index)] for i, j in zip(starts, np.append(starts[1:], len(ids)), strict=True)])
+        return pd.DataFrame({"id": ids, "grp": grp, "blocks": pdf["blocks"], "block": pdf["block"], "part": part})
+
+    # groups of one block share calls, of about LOT_BYTES of text
+    lots = 1 + (rows.filter("blocks = 1").agg(F.sum(F.length("text"))).first()[0] or 0) // LOT_BYTES
+    lot = F.when(F.col("blocks") == 1, F.expr(f"pmod(xxhash64(grp), {lots})")).otherwise(F.lit(-1))
+    own = F.when(F.col("blocks") > 1, F.col("grp"))
+    dealt = rows.withColumns({"lot": lot, "own": own})
+    parts = written(dealt.groupBy("lot", "own", "block").applyInPandas(search, "id long, grp long, blocks int, block int, part long"), "parts")
     links = parts.filter("id <> part").select(F.col("id").alias("a"), F.col("part").alias("b"))
     wide = parts.filter("blocks > 1")
     return links if empty(wide) else links.union(across(rows.select("id", "text"), wide, index))
