@@ -140,6 +140,36 @@ def test_lines(spark, docs, none):
     assert lines.fuzzy_lines(docs).count() and not lines.fuzzy_lines(none).collect()
 
 
+def edited_lines():
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(3, 8))))
+    out = []
+    for n in [10, 12, 20, 30, 60] * 8:
+        one = [word() for _ in range(n)]
+        two = one.copy()
+        two[int(rng.integers(n))] = word()
+        out += [" ".join(one), " ".join(two)]
+    return out
+
+
+def test_similar_lines_are_found(spark):
+    """All pairs of edit similarity 0.9, by brute force."""
+    text = edited_lines()
+    up = list(range(len(text)))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for i, a in enumerate(text):
+        for j, b in enumerate(text[:i]):
+            if lines.levenshtein(a, b, 99) <= 0.1 * max(len(a), len(b)):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    assert len({find(i) for i in up}) < len(text) - 30
+    df = spark.createDataFrame([(1, "\n".join(text))], "doc_id long, text string")
+    rows = lines.fuzzy_lines(df).collect()
+    assert {r.line for r in rows if r.kept} == {find(i) for i in up}
+    near = [text[0][:-3] + f"{i:03d}" for i in range(200)]  # wide runs
+    wide = spark.createDataFrame([(i, x) for i, x in enumerate(near)], "doc_id long, text string")
+    assert [r.doc_id for r in lines.fuzzy_lines(wide).collect() if r.kept] == [0]
+
+
 def test_licenses(docs, none):
     rows = {r.doc_id: r.blocks for r in licenses.licenses(docs).collect()}
     assert [(b.line, b.license, b.confirmed, b.lacks) for b in rows[11]] == [(0, "MIT", True, [])] and not rows[0]
