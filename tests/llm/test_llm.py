@@ -170,6 +170,12 @@ def test_similar_lines_are_found(spark):
     assert [r.doc_id for r in lines.fuzzy_lines(wide).collect() if r.kept] == [0]
 
 
+def test_short_lines_are_grouped_exactly(spark):
+    df = spark.createDataFrame([(1, "Read more\n\nRead  mode"), (2, "read more\n\n \nread more")], "doc_id long, text string")
+    got = {(r.doc_id, r.line): (r.kept, r.size) for r in lines.fuzzy_lines(df).collect()}
+    assert got == {(1, 0): (True, 3), (1, 1): (True, 1), (1, 2): (True, 1), (2, 0): (False, 3), (2, 1): (True, 1), (2, 2): (True, 1), (2, 3): (False, 3)}
+
+
 def test_licenses(docs, none):
     rows = {r.doc_id: r.blocks for r in licenses.licenses(docs).collect()}
     assert [(b.line, b.license, b.confirmed, b.lacks) for b in rows[11]] == [(0, "MIT", True, [])] and not rows[0]
