@@ -182,6 +182,15 @@ def test_licenses(docs, none):
     assert not licenses.licenses(none).collect()
 
 
+def test_notices_within_longer_lines(spark):
+    notice = {k: t if isinstance(t, str) else t[0] for k, t in licenses.TEMPLATES.items()}
+    fill = "some other words of the page that stand around a notice, " * 8
+    rows = [(i, fill + notice[k] + " " + fill) for i, k in enumerate(sorted(notice))]
+    two = (99, f"{fill}{notice['MIT']} {fill}{notice['Apache-2.0']}")
+    got = {r.doc_id: [b.license for b in r.blocks if b.confirmed] for r in licenses.licenses(spark.createDataFrame([*rows, two], "doc_id long, text string")).collect()}
+    assert got == {i: [k] for i, k in enumerate(sorted(notice))} | {99: ["MIT", "Apache-2.0"]}
+
+
 def test_language(spark, none):
     ship(spark)
     en, de = "the quick brown fox and the lazy dog of this house ", "der schnelle braune fuchs und das faule pferd dieses hauses "
