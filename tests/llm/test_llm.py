@@ -191,6 +191,16 @@ def test_notices_within_longer_lines(spark):
     assert got == {i: [k] for i, k in enumerate(sorted(notice))} | {99: ["MIT", "Apache-2.0"]}
 
 
+def test_wrapped_headers():
+    held = licenses.Templates(licenses.TEMPLATES)
+    for k, name in enumerate(held.names):
+        w = held.words[k]
+        text = "int main;\n/*\n" + "\n".join(" * " + " ".join(w[i : i + 6]) for i in range(0, len(w), 6)) + "\n */\nreturn 0;"
+        assert [held.names[n] for _, _, n in held.notices(text, 2)] == [name]
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+    assert licenses.HINT.search(mit) and not held.notices(mit, 2)
+
+
 def test_language(spark, none):
     ship(spark)
     en, de = "the quick brown fox and the lazy dog of this house ", "der schnelle braune fuchs und das faule pferd dieses hauses "
