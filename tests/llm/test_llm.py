@@ -191,6 +191,14 @@ def test_notices_within_longer_lines(spark):
     assert got == {i: [k] for i, k in enumerate(sorted(notice))} | {99: ["MIT", "Apache-2.0"]}
 
 
+def test_table_lines_meet():
+    """Lines of repeated marks that differ in one cell share a key."""
+    one = " | ".join(f"cell{i} |" for i in range(12))
+    pair = [one.encode(), one.replace("cell5", "other").encode()]
+    keys = lines.keys_of(pair, 8, lines.LONG_KEYS)
+    assert (keys[:, 0] == keys[:, 1]).any()
+
+
 def test_wrapped_headers():
     held = licenses.Templates(licenses.TEMPLATES)
     for k, name in enumerate(held.names):
