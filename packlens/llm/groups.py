@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packlens.llm.common import components, empty, written
+from packlens.llm.common import components, empty, spent, written
 
 #: Rows that are sent to a block at once.
 ASKS = 2000
@@ -50,24 +49,6 @@ class Forest:
             yield nodes[i : i + size], tops[i : i + size]
 
 
-def meetings(batches):
-    """Rows sorted by key (key, id): links to the first id of each run, reduced to a forest in the task."""
-    forest, low, last = Forest(), None, None
-    for b in batches:
-        sig, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(sig):
-            continue
-        starts = np.flatnonzero(np.diff(sig, prepend=sig[0])) if last is not None and sig[0] == last else np.append(0, np.flatnonzero(np.diff(sig)) + 1)
-        lows = ids[starts]
-        if last is not None and sig[0] == last:
-            starts, lows = np.append(0, starts), np.append(low, lows)
-        to = np.repeat(lows, np.diff(starts, append=len(sig)))
-        forest.add(ids, to)
-        last, low = sig[-1], to[-1]
-    for a, b in forest.edges():
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
 def local_components(items: list, index) -> np.ndarray:
     """The component number of each item. In the end only items of the largest component may stay unasked: a link
     between two components is found from whichever is not the largest."""
@@ -120,13 +101,14 @@ def across(texts: DataFrame, parts: DataFrame, index) -> DataFrame:
     edges = None
     label = parts.select("id", "grp", "blocks", "block", "part")
     for step in ("first", "rest"):
-        count = label.groupBy("grp", "part").agg(F.count("*").alias("size"), F.min("id").alias("one"))
+        # written minima and counts: a large group's partition can be split where it joins them
+        count = written(label.groupBy("grp", "part").agg(F.count("*").alias("size"), F.min("id").alias("one")), "count")
         if step == "first":
             asking = label.join(count.filter("size > 1"), ["grp", "part"]).filter("id = one").select("id", "grp", "blocks", "block", "part")
         else:
-            top = count.groupBy("grp").agg(F.max_by("part", F.struct("size", "part")).alias("top"))
+            top = written(count.groupBy("grp").agg(F.max_by("part", F.struct("size", "part")).alias("top")), "top")
             asking = label.join(top, "grp").filter("part <> top").select("id", "grp", "blocks", "block", "part")
-        n_ask = asking.groupBy("grp").agg(F.count("*").alias("asks"))
+        n_ask = written(asking.groupBy("grp").agg(F.count("*").alias("asks")), "asks")
         held = label.join(n_ask, "grp").withColumn("lots", F.ceil(F.col("asks") / ASKS).cast("int"))
         held = held.select("id", "grp", "block", "part", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"), F.lit(False).alias("asks"))
         asked = asking.join(n_ask, "grp").withColumn("lots", F.ceil(F.col("asks") / ASKS).cast("int"))
@@ -146,7 +128,8 @@ def across(texts: DataFrame, parts: DataFrame, index) -> DataFrame:
         new = written(rows.groupBy("grp", "block", "lot").applyInPandas(probe, "a long, b long"), "across")
         edges = new if edges is None else edges.union(new)
         merged = components(new).select(F.col("id").alias("part"), "component")
-        label = label.join(merged, "part", "left").select("id", "grp", "blocks", "block", F.coalesce("component", "part").alias("part"))
+        label = label.join(merged.hint("merge"), "part", "left").select("id", "grp", "blocks", "block", F.coalesce("component", "part").alias("part"))
+        spent(count, n_ask)
     return edges
 
 

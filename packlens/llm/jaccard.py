@@ -3,70 +3,119 @@
 A document's set is its distinct word n-gram shingles. Documents link when 100 * |x & y| >= percent * |x | y|.
 
 1. Rows with equal sets form classes; one representative each goes on.
-2. Lossless grouping: sets of sizes near each other are cut into m segments by a hash of the shingle. Two linked
-   sets differ in at most D shingles, so with m = D + k + 1 they agree on k + 1 segments. Rows that agree on a
-   segment meet at the smallest row with it: signatures are dealt and sorted, a task walks over them and keeps a
-   spanning forest of the rows it saw meet (at most one edge a row), and connected rows form a group. No pairs are
-   emitted.
+2. Lossless grouping. Shingles are ordered by hash; a set's prefix are its first size - need + extra shingles. Two
+   linked sets share `extra` shingles of their prefixes at least (the smaller one's), so a row stays only if that many
+   of its prefix shingles are shared with rows of a size that may link. Rows that stay are chained along each shared
+   shingle, sorted by size: neighbours of linkable size join, which joins all that may link. No pairs are emitted, and
+   the rows of a frequent shingle are spread over tasks by size and id.
    Groups above a block's size are cut again, by prefixes under the exact frequency order of their own shingles.
 3. In each group, cut into blocks of a bounded number of shingles, an inverted index answers T-occurrence queries:
    short lists are merged, candidates are probed in the long ones. Blocks of one group meet by sending the documents
    that are not yet in the group's largest component to the other blocks.
 
-Empty and null texts have no shingle and stay alone. Extra columns are ignored. Repeated ids are one document each
-row: rows with one id share its component.
+Empty and null texts have no shingle and stay alone, as do rows whose id is null (their component is null). Extra
+columns are ignored. Repeated ids are one document: rows with one id share its component. Ties do not arise: a
+component is named by its smallest id. An empty table gives no rows. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlens.llm import textvec as tv
-from packlens.llm.common import components, documents, empty, written
-from packlens.llm.groups import Forest, grouped_links, meetings
+from packlens.llm.common import components, documents, empty, spent, written
+from packlens.llm.groups import Forest, grouped_links
 
 #: Shingles that one block of a group holds at most, but for a single longer text.
 BLOCK_SHINGLES = 2_000_000
-#: Signatures that one task sorts and walks over, about.
-TASK_SIGNATURES = 3_000_000
-
-
-def size_classes(percent: int, most: int = 1 << 40) -> np.ndarray:
-    """Upper sizes of classes; linked sets lie in the same or in neighbouring classes."""
-    out, step = [1.0], 100 / (percent - 1)
-    while out[-1] < most:
-        out.append(out[-1] * step)
-    return np.array(out)
-
-
-def segments(sets: Iterator[np.ndarray], percent: int) -> Iterator[np.ndarray]:
-    """Segment signatures of each set."""
-    tops = size_classes(percent)
-    for x in sets:
-        if not len(x):
-            yield np.zeros(0, np.uint64)
-            continue
-        out, b0 = [], int(np.searchsorted(tops, len(x)))
-        mixed, deal = tv.mix(x, 11), tv.mix(x, 12)
-        for b in (b0, b0 + 1):
-            d = 2 * int(tops[b]) * (100 - percent) // (100 + percent)
-            k = 3 + d // 16 if d else 0
-            m = d + k + 1
-            at = (deal % np.uint64(m)).astype(np.int64)
-            total = np.zeros(m, np.uint64)
-            np.add.at(total, at, mixed)
-            full = np.flatnonzero(np.bincount(at, minlength=m))
-            out.append(tv.mix(total[full] ^ tv.mix((full + (b << 40)).astype(np.uint64), 13), 14))
-            if m - len(full) > k:  # agreement on empty segments only is possible
-                out.append(tv.mix(np.array([b], np.uint64), 15))
-        yield np.concatenate(out)
+#: Keys that one task sorts and walks over, about.
+TASK_KEYS = 3_000_000
+#: Prefix shingles beyond the shortest prefix, in hundredths of a set.
+EXTRA = 10
+#: DivideSkip's cost of a probe beside that of a merged posting.
+MU = 0.0085
+
+
+def need(n, percent: int):
+    """Shingles that a set of n must share to link."""
+    return (percent * n + 99) // 100
+
+
+def extra(n):
+    return 1 + n * EXTRA // 100
+
+
+def prefix(x: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set (sorted hashes)."""
+    return x[: len(x) - need(len(x), percent) + extra(len(x))] if len(x) else x
+
+
+def neighbours(percent: int, forest: bool):
+    """Rows sorted by (key, n, id): those with a neighbour of the same key and a linkable size, as (key, n, id, part, side),
+    side 0; and each task's first and last row, side 1 and 2. With `forest` instead of the former the links (a, b) between
+    neighbours (in id and n, side 3), at most one for each id."""
+
+    def walk(batches):
+        part, last, first = TaskContext.get().partitionId(), None, None
+        links = Forest()
+
+        def rows(key, n, id_, side):
+            m = len(key)
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(id_, pa.int64()), pa.array(np.full(m, part, np.int32)), pa.array(np.full(m, side, np.int32))], ["key", "n", "id", "part", "side"])
+
+        pending = None  # the last row, whose fate the next batch decides
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, n, id_ = (c.to_numpy() for c in b.columns)
+            if first is None:
+                first = key[:1], n[:1], id_[:1]
+            if pending is not None:
+                key, n, id_ = (np.append(p, c) for p, c in zip(pending[:3], (key, n, id_), strict=True))
+            met = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            if forest:
+                links.add(id_[1:][met], id_[:-1][met])
+            else:
+                has = np.append(met, False)
+                has[1:] |= met
+                has[0] |= pending is not None and pending[3]
+                done = has[:-1]
+                yield rows(key[:-1][done], n[:-1][done], id_[:-1][done], 0)
+            pending = key[-1], n[-1], id_[-1], bool(len(met) and met[-1])
+        if pending is None:
+            return
+        if forest:
+            for a, b in links.edges():
+                yield rows(np.zeros(len(a), np.int64), b, a, 3)
+        elif pending[3]:
+            yield rows(*([x] for x in pending[:3]), 0)
+        yield rows(*first, 1)
+        yield rows(*([x] for x in pending[:3]), 2)
+
+    return walk
+
+
+def borders(met: DataFrame, percent: int) -> DataFrame:
+    """Links across tasks: the last row of one and the first row of the next (one row a task), as (key, n, id, other_n, other)."""
+    ends = met.filter("side = 1 or side = 2").select("part", "side", "key", "n", "id")
+    each = ends.groupBy("part").agg(F.min(F.when(F.col("side") == 1, F.struct("key", "n", "id"))).alias("head"), F.min(F.when(F.col("side") == 2, F.struct("key", "n", "id"))).alias("tail"))
+    turn = each.withColumn("next", F.lead("head").over(Window.partitionBy(F.lit(0)).orderBy("part")))
+    at = turn.filter(F.col("tail.key") == F.col("next.key")).filter(100 * F.col("tail.n") >= percent * F.col("next.n"))
+    return at.select("tail.key", "tail.n", "tail.id", F.col("next.n").alias("other_n"), F.col("next.id").alias("other"))
+
+
+def walked(keys: DataFrame, count: int, percent: int, forest: bool, name: str) -> DataFrame:
+    parts = max(1, -(-count // TASK_KEYS))
+    ordered = keys.select("key", "n", "id").repartitionByRange(parts, "key", "n", "id").sortWithinPartitions("key", "n", "id")
+    return written(ordered.mapInArrow(neighbours(percent, forest), "key long, n long, id long, part int, side int"), name)
 
 
 class DivideSkip:
@@ -91,7 +140,9 @@ class DivideSkip:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         size = self.bounds[at + 1] - self.bounds[at]
         order = at[np.argsort(size, kind="stable")]
-        n_short = len(order) - (need - 1)
+        # DivideSkip's number of long lists: more probes, or more postings to merge
+        n_long = min(need - 1, int(need / (MU * math.log2(max(2, int(size.max()))) + 1)))
+        n_short = len(order) - n_long
         short = [self.posts[self.bounds[i] : self.bounds[i + 1]] for i in order[:n_short]]
         long = order[n_short:]
         if sum(map(len, short)) <= 512:  # heap merge
@@ -104,7 +155,11 @@ class DivideSkip:
                     count.append(1)
             found, count = np.array(found, np.int64), np.array(count, np.int64)
         else:  # the same merge, by sorting
-            found, count = np.unique(np.concatenate(short), return_counts=True)
+            merged = np.sort(np.concatenate(short), kind="stable")  # timsort merges the sorted lists as they are
+            first = np.flatnonzero(np.diff(merged, prepend=-1))
+            found, count = merged[first], np.diff(first, append=len(merged))
+        keep = count + len(long) >= need
+        found, count = found[keep], count[keep]
         if len(found) <= len(long):  # binary probes of one document in all long lists
             tokens = np.sort(self.tokens[long])
             for j, doc in enumerate(found.tolist()):
@@ -151,9 +206,11 @@ def linked(index: DivideSkip, x: np.ndarray, percent: int) -> np.ndarray:
 
 def refined(docs: DataFrame, reps: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
     """Groups above the limit, cut by prefixes: with the shingles of such groups ordered by how many of their texts
-    hold them, linked sets share one of their first size - need + 1 shingles. Rows that share one stay together."""
-    wide = written(reps.join(reps.groupBy("grp").agg(F.sum("n").alias("t")).filter(F.col("t") > limit).drop("t"), "grp"), "wide")
+    hold them, linked sets share one of their first size - need + 1 shingles. Rows that share one, and whose sizes may
+    link, stay together."""
+    wide = written(reps.join(reps.groupBy("grp").agg(F.sum("n").alias("t")).filter(F.col("t") > limit).drop("t").hint("merge"), "grp"), "wide")
     if empty(wide):
+        spent(wide)
         return reps
 
     def shingles(batches):
@@ -163,16 +220,47 @@ def refined(docs: DataFrame, reps: DataFrame, words: int, percent: int, limit: i
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(x), i)), pa.array(np.full(len(x), n))], ["token", "id", "n"])
 
     held = written(docs.join(wide.select(F.col("rep").alias("id"), "n").hint("merge"), "id").mapInArrow(shingles, "token long, id long, n long"), "shingles")
-    often = held.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    often = written(held.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "often")
     # shingles that one text holds come first and lead nowhere: only their number counts
-    shared = held.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    shared = held.join(often.hint("merge"), "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
-    keys = shared.select(F.explode(F.slice("s", 1, F.greatest(F.lit(0), first.cast("int")))).alias("x"), "id").select("x.token", "id")
-    parts = max(1, -(-keys.count() // TASK_SIGNATURES))
-    meet = keys.repartition(parts, "token").sortWithinPartitions("token", "id").mapInArrow(meetings, "a long, b long")
-    again = components(meet).select(F.col("id").alias("rep"), F.col("component").alias("to"))
-    cut = wide.join(again, "rep", "left").select("rep", "n", F.coalesce("to", "rep").alias("grp"))
-    return written(reps.join(wide.select("rep"), "rep", "left_anti").select("rep", "n", "grp").union(cut), "refined")
+    keys = written(shared.select(F.explode(F.slice("s", 1, F.greatest(F.lit(0), first.cast("int")))).alias("x"), "id", "n").select(F.col("x.token").alias("key"), "id", "n"), "keys")
+    spent(held, often)
+    again = components(chained(keys, percent)).select(F.col("id").alias("rep"), F.col("component").alias("to"))
+    cut = wide.join(again.hint("merge"), "rep", "left").select("rep", "n", F.coalesce("to", "rep").alias("grp"))
+    out = written(reps.join(wide.select("rep").distinct().hint("merge"), "rep", "left_anti").select("rep", "n", "grp").union(cut), "refined")
+    spent(keys, wide)
+    return out
+
+
+def chained(keys: DataFrame, percent: int) -> DataFrame:
+    """Written links (a, b) that connect the ids of each key along their sizes."""
+    met = walked(keys, keys.count(), percent, True, "chains")
+    inner = met.filter("side = 3").select(F.col("id").alias("a"), F.col("n").alias("b"))
+    links = written(inner.union(borders(met, percent).select(F.col("id").alias("a"), F.col("other").alias("b"))), "links")
+    spent(met)
+    return links
+
+
+def grouped(base: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Rows (id, grp) of representatives that may link with others of their group. base: with `keys`."""
+    keys = base.join(classes.select(F.col("rep").alias("id"), "n", "k1", "k2").hint("merge"), ["id", "n", "k1", "k2"], "left_semi")
+    keys = written(keys.dropDuplicates(["id", "n", "k1", "k2"]).select("id", "n", "keys"), "keys")
+    count = keys.agg(F.sum(F.size("keys"))).first()[0] or 0
+    spent(base)
+    met = walked(keys.select(F.explode("keys").alias("key"), "n", "id"), count, percent, False, "shared")
+    over = borders(met, percent)
+    shared = met.filter("side = 0").select("key", "n", "id").union(over.select("key", "n", "id")).union(over.select("key", F.col("other_n").alias("n"), F.col("other").alias("id")))
+    # of linked sets x and y, x shares as many prefix shingles as the smaller set's extra: y has need(x) shingles at least
+    least = F.expr(f"1 + ((({percent} * n + 99) div 100) * {EXTRA}) div 100")
+    enough = shared.groupBy("id", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("id", "n")
+    live = written(shared.join(enough.hint("merge"), ["id", "n"]).select("key", "n", "id"), "live")
+    spent(keys, met)
+    links = chained(live, percent)
+    spent(live)
+    out = written(components(links).withColumnRenamed("component", "grp"), "groups")
+    spent(links)
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -182,40 +270,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def signed(batches):
         for b in batches:
             offs, data = tv.utf8(b.column("text"))
-            sets = list(tv.shingle_sets(offs, data, words))
-            n = [len(x) for x in sets]
-            k1 = [tv.mix(x, 1).sum().astype(np.int64) for x in sets]
-            k2 = [np.bitwise_xor.reduce(tv.mix(x, 2)).astype(np.int64) if len(x) else 0 for x in sets]
-            seen, none = set(), np.zeros(0, np.uint64)
-            # of equal sets in a batch one brings signatures; the class links the others
-            once = [none if key in seen or seen.add(key) else x for key, x in zip(zip(n, k1, k2, strict=True), sets, strict=True)]
-            each = list(segments(iter(once), percent))
-            flat = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
-            sigs = pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)]).astype(np.int32), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), sigs], ["id", "n", "k1", "k2", "sigs"])
-
-    base = written(docs.mapInArrow(signed, "id long, n long, k1 long, k2 long, sigs array<long>"), "sets")
-    classes = base.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    total = base.agg(F.sum(F.size("sigs"))).first()[0] or 0
-    parts = max(1, -(-total // TASK_SIGNATURES))
-    sigs = base.select(F.explode("sigs").alias("sig"), "id").repartition(parts, "sig").sortWithinPartitions("sig", "id")
-    meet = sigs.mapInArrow(meetings, "a long, b long")
-    brought = base.filter("size(sigs) > 0").select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).filter("id <> rep")
-    meet = meet.union(brought.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    groups = written(components(meet).withColumnRenamed("component", "grp"), "groups")
-    reps = classes.join(groups, F.col("rep") == groups["id"]).select("rep", "n", "grp")
+            n, k1, k2, each, seen = [], [], [], [], set()
+            for i, x in zip(b.column("id").to_pylist(), tv.shingle_sets(offs, data, words), strict=True):
+                n.append(len(x))
+                k1.append(tv.mix(x, 1).sum().astype(np.int64))
+                k2.append(np.bitwise_xor.reduce(tv.mix(x, 2)).astype(np.int64) if len(x) else 0)
+                key = (n[-1], k1[-1], k2[-1])
+                # of equal sets in a batch one brings its keys; the class links the others
+                each.append(x[:0] if i is None or key in seen else prefix(x, percent).copy())
+                if i is not None:
+                    seen.add(key)
+            flat = np.concatenate([np.zeros(0, np.uint64), *each]).view(np.int64)
+            keys = pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)]).astype(np.int32), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), keys], ["id", "n", "k1", "k2", "keys"])
+
+    base = written(docs.mapInArrow(signed, "id long, n long, k1 long, k2 long, keys array<long>"), "sets")
+    rows = written(base.select("id", "n", "k1", "k2"), "rows")
+    holds = F.when(F.size("keys") > 0, F.col("id"))
+    classes = base.filter("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min(holds).alias("rep"), F.min("id").alias("low"))
+    classes = written(classes, "classes")
+    groups = grouped(base, classes, percent)
+    # a representative of several classes (a repeated id) brings each of its sets
+    reps = written(classes.join(groups.hint("merge"), F.col("rep") == groups["id"]).select("rep", "n", "grp"), "reps")
     reps = refined(docs, reps, words, percent, block_shingles)
-    sizes = reps.groupBy("grp").agg(F.sum("n").alias("total"), F.count("*").alias("members")).filter("members > 1")
-    members = reps.join(sizes, "grp").select("rep", "grp", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks"))
+    sizes = reps.groupBy("grp").agg(F.sum("n").alias("total"), F.count_distinct("rep").alias("members")).filter("members > 1")
+    sizes = written(sizes, "sizes")  # plain: a large group's partition can be split where it joins
+    members = reps.join(sizes.hint("merge"), "grp").select("rep", "grp", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks")).distinct()
     members = members.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     texts = written(docs.join(members.withColumnRenamed("rep", "id").hint("merge"), "id"), "members")
 
-    links = grouped_links(texts, JaccardIndex(percent, words))
-    same = base.select("id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"])  # the class of each row
-    found = components(links).select(F.col("id").alias("rep"), "component")
-    per_row = same.join(found, "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
-    none = base.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return per_row.union(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    links = written(grouped_links(texts, JaccardIndex(percent, words)).union(classes.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))), "links")
+    spent(texts)
+    # rows of one id are one document, whatever their sets: classes meet at their ids
+    same = rows.filter("n > 0 and id is not null").join(classes.hint("merge"), ["n", "k1", "k2"]).select("id", "n", "low")
+    twice = same.groupBy("id").agg(F.min("low").alias("a"), F.max("low").alias("z")).filter("a <> z").select("id")
+    twice = same.select("id", "low").distinct().join(twice, "id", "left_semi")
+    found = written(components(links.union(twice)).withColumnRenamed("id", "low"), "found")
+    per_row = same.join(found.hint("merge"), "low", "left").select("id", "n", F.coalesce("component", "low").alias("component_id"))
+    alone = rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+    return per_row.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
