@@ -72,8 +72,9 @@ def spent(*tables: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The planner's estimate of a scan's bytes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The planner's estimate of a scan's bytes, 0 where it has none; no job runs."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def empty(df: DataFrame) -> bool:
@@ -92,9 +93,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def lowest(e: DataFrame) -> DataFrame:
         return written(e.groupBy("u").agg(F.min("v").alias("m")), "lowest")
 
+    def stars(e: DataFrame) -> bool:
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out")).union(e.select("v", F.lit(0)))
+        return empty(ends.groupBy("x").agg(F.sum("out").alias("out"), F.count("*").alias("n")).filter("out > 1 or out = 1 and n > 1"))
+
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    e, last = written(e.filter("u <> v").distinct(), "edges"), None
-    while True:
+    e = written(e.filter("u <> v").distinct(), "edges")
+    while not stars(e):  # some node has two smaller neighbours, or a smaller and a larger one
         # large star: larger neighbours point to the smallest neighbour (or the node itself)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = lowest(both)
@@ -106,11 +111,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v")))
         e = written(small.distinct(), "edges")
         spent(large, low)
-        # done when a round changes nothing: every node has one edge, and no target is a source
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == last:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        last = now
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def unused(columns: list[str], *names: str) -> list[str]:

@@ -25,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packlens.llm.bpe import encode_words, pack, unpack, vocabulary
+from packlens.llm import textvec as tv
+from packlens.llm.bpe import Known, distinct, from_planes, pack, planes, ranges, unpack, vocabulary, word_hashes
 from packlens.llm.common import documents, written
 
 #: Words that a worker keeps encoded.
-CACHE_WORDS = 300_000
-_cache: dict[bytes, bytes] = {}
+CACHE_WORDS = 1_000_000
+_known: dict[str, Known] = {}
 
 
 def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -38,26 +39,21 @@ def tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def encode(batches):
         uid = TaskContext.get().partitionId() << 36
-        end = np.array([end_id], "<u4").tobytes()
+        known = _known.setdefault(path, Known(path, CACHE_WORDS))
         for b in batches:
-            texts, n, out = b.column("text").to_pylist(), [], []
-            for i in range(0, len(texts), 1024):
-                rows = [(t or "").encode().split() for t in texts[i : i + 1024]]
-                need = set().union(*rows)
-                new = [w for w in need if w not in _cache]
-                ids, bounds = encode_words(path, new)
-                raw = ids.astype("<u4").tobytes()
-                known = {w: raw[4 * x : 4 * y] for w, x, y in zip(new, bounds, bounds[1:], strict=False)}
-                if len(_cache) + len(known) <= CACHE_WORDS:  # the frequent words come first and stay
-                    _cache.update(known)
-                    known = _cache
-                else:
-                    known.update((w, _cache[w]) for w in need if w in _cache)
-                for r in rows:
-                    raw = b"".join(map(known.__getitem__, r)) + end
-                    n.append(len(raw) // 4)
-                    # high and low bytes apart: they compress better
-                    out.append(pack(np.frombuffer(raw, np.uint8).reshape(-1, 4).T.tobytes()))
+            offs, data = tv.utf8(b.column("text"))
+            n, out = [], []
+            for i, j in tv.pieces(offs, 4 << 20):
+                part = data[offs[i] : offs[j]]
+                starts, ends, first = tv.words(offs[i : j + 1] - offs[i], part)
+                h, check = word_hashes(part, starts, ends)
+                one, number = distinct(h, check)
+                every, at, size = known.encode(part, starts[one], ends[one], h[one], check[one])
+                for k in range(j - i):
+                    own = number[first[k] : first[k + 1]]
+                    ids = np.append(every[ranges(at[own], size[own])], np.uint32(end_id))
+                    n.append(len(ids))
+                    out.append(pack(planes(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(n))), b.column("id"), b.column("source"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["uid", "id", "source", "n", "packed"])
             uid += len(n)
 
@@ -152,7 +148,7 @@ def packed_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             cols: list[list] = [[] for _ in range(8)]
             for i, n, packed, pieces in zip(b.column("id").to_pylist(), b.column("n").to_pylist(), b.column("packed").to_pylist(), b.column("pieces").to_pylist(), strict=True):
-                raw = np.frombuffer(unpack(packed), np.uint8).reshape(4, -1).T.tobytes()
+                raw = from_planes(unpack(packed)).tobytes()
                 for x in sorted(pieces, key=lambda x: x["start"]):
                     crc = zlib.crc32(raw[4 * x["start"] : 4 * (x["start"] + x["length"])])
                     for c, v in zip(cols, (i, x["start"], x["length"], crc, n, x["sequence_id"], x["offset"], x["w"]), strict=True):
