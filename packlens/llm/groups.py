@@ -96,26 +96,27 @@ def grouped_links(rows: DataFrame, index) -> DataFrame:
 
 
 def across(texts: DataFrame, parts: DataFrame, index) -> DataFrame:
-    """Links between blocks of one group: first one document of each part of two or more, then every document that
-    is outside its group's largest component, sent to each other block."""
+    """Links between blocks of one group: first one row of each part of two or more goes to the block with the group's
+    largest part, then every row that is still outside the group's largest component to each other block."""
     edges = None
     label = parts.select("id", "grp", "blocks", "block", "part")
     for step in ("first", "rest"):
         # written minima and counts: a large group's partition can be split where it joins them
-        count = written(label.groupBy("grp", "part").agg(F.count("*").alias("size"), F.min("id").alias("one")), "count")
+        count = written(label.groupBy("grp", "part").agg(F.count("*").alias("size"), F.min(F.struct("id", "block")).alias("one")), "count")
+        top = written(count.groupBy("grp").agg(F.max_by(F.struct("part", F.col("one.block").alias("block")), F.struct("size", "part")).alias("top")), "top")
         if step == "first":
-            asking = label.join(count.filter("size > 1"), ["grp", "part"]).filter("id = one").select("id", "grp", "blocks", "block", "part")
+            heads = count.filter("size > 1").select("grp", "part", F.col("one.id").alias("id"), F.col("one.block").alias("block")).join(top.hint("merge"), "grp")
+            asked = heads.filter("part <> top.part and block <> top.block").select("id", "grp", "part", F.col("top.block").alias("to"))
         else:
-            top = written(count.groupBy("grp").agg(F.max_by("part", F.struct("size", "part")).alias("top")), "top")
-            asking = label.join(top, "grp").filter("part <> top").select("id", "grp", "blocks", "block", "part")
-        n_ask = written(asking.groupBy("grp").agg(F.count("*").alias("asks")), "asks")
-        held = label.join(n_ask, "grp").withColumn("lots", F.ceil(F.col("asks") / ASKS).cast("int"))
+            asked = label.join(top.hint("merge"), "grp").filter("part <> top.part")
+            asked = asked.select("id", "grp", "part", F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b <> block)")).alias("to"))
+        asked = written(asked, "asked")
+        n_ask = written(asked.groupBy("grp", F.col("to").alias("block")).agg(F.ceil(F.count("*") / ASKS).cast("int").alias("lots")), "asks")
+        held = label.join(n_ask.hint("merge"), ["grp", "block"])
         held = held.select("id", "grp", "block", "part", F.explode(F.expr("sequence(0, lots - 1)")).alias("lot"), F.lit(False).alias("asks"))
-        asked = asking.join(n_ask, "grp").withColumn("lots", F.ceil(F.col("asks") / ASKS).cast("int"))
-        asked = asked.withColumn("lot", F.expr("cast(pmod(xxhash64(id, 7), lots) as int)"))
-        asked = asked.withColumn("to", F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b <> block)")))
-        asked = asked.select("id", "grp", F.col("to").alias("block"), "part", "lot", F.lit(True).alias("asks"))
-        rows = held.union(asked).join(texts, "id")
+        asks = asked.withColumnRenamed("to", "block").join(n_ask.hint("merge"), ["grp", "block"])
+        asks = asks.select("id", "grp", "block", "part", F.expr("cast(pmod(xxhash64(id, 7), lots) as int)").alias("lot"), F.lit(True).alias("asks"))
+        rows = held.union(asks).join(texts, "id")
 
         def probe(pdf: pd.DataFrame) -> pd.DataFrame:
             mine, theirs = pdf[~pdf["asks"]].reset_index(drop=True), pdf[pdf["asks"]].reset_index(drop=True)
@@ -127,9 +128,8 @@ def across(texts: DataFrame, parts: DataFrame, index) -> DataFrame:
 
         new = written(rows.groupBy("grp", "block", "lot").applyInPandas(probe, "a long, b long"), "across")
         edges = new if edges is None else edges.union(new)
-        merged = components(new).select(F.col("id").alias("part"), "component")
-        label = label.join(merged.hint("merge"), "part", "left").select("id", "grp", "blocks", "block", F.coalesce("component", "part").alias("part"))
-        spent(count, n_ask)
+        spent(count, top, asked, n_ask)
+        if step == "first":
+            merged = components(new).select(F.col("id").alias("part"), "component")
+            label = written(label.join(merged.hint("merge"), "part", "left").select("id", "grp", "blocks", "block", F.coalesce("component", "part").alias("part")), "label")
     return edges
-
-

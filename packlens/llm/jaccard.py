@@ -5,10 +5,11 @@ A document's set is its distinct word n-gram shingles. Documents link when 100 *
 1. Rows with equal sets form classes; one representative each goes on.
 2. Lossless grouping. Shingles are ordered by hash; a set's prefix are its first size - need + extra shingles. Two
    linked sets share `extra` shingles of their prefixes at least (the smaller one's), so a row stays only if that many
-   of its prefix shingles are shared with rows of a size that may link. Rows that stay are chained along each shared
-   shingle, sorted by size: neighbours of linkable size join, which joins all that may link. No pairs are emitted, and
-   the rows of a frequent shingle are spread over tasks by size and id.
-   Groups above a block's size are cut again, by prefixes under the exact frequency order of their own shingles.
+   of its prefix shingles are shared with rows of a size that may link. The shared ones that are so frequent that
+   linked rows share a rarer one too go next (prefixes again, under the exact frequency order): passages that many
+   texts hold connect nothing. Rows that stay are chained along each shared shingle, sorted by size: neighbours of
+   linkable size join, which joins all that may link. No pairs are emitted, and the rows of a frequent shingle are
+   spread over tasks by size and id.
 3. In each group, cut into blocks of a bounded number of shingles, an inverted index answers T-occurrence queries:
    short lists are merged, candidates are probed in the long ones. Blocks of one group meet by sending the documents
    that are not yet in the group's largest component to the other blocks.
@@ -31,11 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlens.llm import textvec as tv
-from packlens.llm.common import components, documents, empty, spent, written
+from packlens.llm.common import components, documents, spent, written
 from packlens.llm.groups import Forest, grouped_links
 
 #: Shingles that one block of a group holds at most, but for a single longer text.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 300_000
 #: Keys that one task sorts and walks over, about.
 TASK_KEYS = 3_000_000
 #: Prefix shingles beyond the shortest prefix, in hundredths of a set.
@@ -204,35 +205,6 @@ def linked(index: DivideSkip, x: np.ndarray, percent: int) -> np.ndarray:
     return found[100 * both >= percent * (len(x) + index.sizes[found] - both)]
 
 
-def refined(docs: DataFrame, reps: DataFrame, words: int, percent: int, limit: int) -> DataFrame:
-    """Groups above the limit, cut by prefixes: with the shingles of such groups ordered by how many of their texts
-    hold them, linked sets share one of their first size - need + 1 shingles. Rows that share one, and whose sizes may
-    link, stay together."""
-    wide = written(reps.join(reps.groupBy("grp").agg(F.sum("n").alias("t")).filter(F.col("t") > limit).drop("t").hint("merge"), "grp"), "wide")
-    if empty(wide):
-        spent(wide)
-        return reps
-
-    def shingles(batches):
-        for b in batches:
-            offs, data = tv.utf8(b.column("text"))
-            for i, n, x in zip(b.column("id").to_pylist(), b.column("n").to_pylist(), tv.shingle_sets(offs, data, words), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(x), i)), pa.array(np.full(len(x), n))], ["token", "id", "n"])
-
-    held = written(docs.join(wide.select(F.col("rep").alias("id"), "n").hint("merge"), "id").mapInArrow(shingles, "token long, id long, n long"), "shingles")
-    often = written(held.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "often")
-    # shingles that one text holds come first and lead nowhere: only their number counts
-    shared = held.join(often.hint("merge"), "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
-    keys = written(shared.select(F.explode(F.slice("s", 1, F.greatest(F.lit(0), first.cast("int")))).alias("x"), "id", "n").select(F.col("x.token").alias("key"), "id", "n"), "keys")
-    spent(held, often)
-    again = components(chained(keys, percent)).select(F.col("id").alias("rep"), F.col("component").alias("to"))
-    cut = wide.join(again.hint("merge"), "rep", "left").select("rep", "n", F.coalesce("to", "rep").alias("grp"))
-    out = written(reps.join(wide.select("rep").distinct().hint("merge"), "rep", "left_anti").select("rep", "n", "grp").union(cut), "refined")
-    spent(keys, wide)
-    return out
-
-
 def chained(keys: DataFrame, percent: int) -> DataFrame:
     """Written links (a, b) that connect the ids of each key along their sizes."""
     met = walked(keys, keys.count(), percent, True, "chains")
@@ -253,11 +225,16 @@ def grouped(base: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     shared = met.filter("side = 0").select("key", "n", "id").union(over.select("key", "n", "id")).union(over.select("key", F.col("other_n").alias("n"), F.col("other").alias("id")))
     # of linked sets x and y, x shares as many prefix shingles as the smaller set's extra: y has need(x) shingles at least
     least = F.expr(f"1 + ((({percent} * n + 99) div 100) * {EXTRA}) div 100")
-    enough = shared.groupBy("id", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("id", "n")
+    enough = written(shared.groupBy("id", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("id", "n"), "enough")
     live = written(shared.join(enough.hint("merge"), ["id", "n"]).select("key", "n", "id"), "live")
-    spent(keys, met)
-    links = chained(live, percent)
-    spent(live)
+    spent(keys, met, enough)
+    # so x and y also share one of the first c - least + 1 of the c that x has, in the order of their frequency
+    often = written(live.groupBy("key").agg(F.count("*").alias("df")), "often")
+    sets = live.join(often.hint("merge"), "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))
+    rare = written(sets.select("id", "n", F.explode(F.slice("s", 1, F.greatest(F.lit(0), F.size("s") - least.cast("int") + 1))).alias("x")).select("x.key", "n", "id"), "rare")
+    spent(live, often)
+    links = chained(rare, percent)
+    spent(rare)
     out = written(components(links).withColumnRenamed("component", "grp"), "groups")
     spent(links)
     return out
@@ -292,7 +269,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = grouped(base, classes, percent)
     # a representative of several classes (a repeated id) brings each of its sets
     reps = written(classes.join(groups.hint("merge"), F.col("rep") == groups["id"]).select("rep", "n", "grp"), "reps")
-    reps = refined(docs, reps, words, percent, block_shingles)
     sizes = reps.groupBy("grp").agg(F.sum("n").alias("total"), F.count_distinct("rep").alias("members")).filter("members > 1")
     sizes = written(sizes, "sizes")  # plain: a large group's partition can be split where it joins
     members = reps.join(sizes.hint("merge"), "grp").select("rep", "grp", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks")).distinct()
