@@ -6,12 +6,14 @@ linear time and without recursion on long texts: runs are possessive and start w
 that can or cannot join two parts are marked beforehand, character for character. Offsets come from the lengths of
 what lies between matches.
 
-Bootstrapping: every word with a digit or an @ is an instance, the word before it (digits masked, lower case) a
-pattern. Instances that hold a base span are seeds of its kind. In each round a pattern's score for a kind is the
-mean score of its distinct instances, and an instance takes the best score of its patterns. Patterns with enough
-seeds and score give their other instances, trimmed of punctuation, as new spans of that kind; these must look like
-it: an @ within for email, dots for ip, otherwise as many digits as the kind has. Scores are sums by key, combined
-before each shuffle, so a frequent word before numbers meets no limit.
+Bootstrapping: every word with a digit or an @ is an instance; its patterns are the word before it, and the two words
+before it (digits masked, lower case, "^" at the start of a text; CONTEXT code points are looked at). Instances that hold a
+base span are seeds of its kind; long words of letters and digits are seeds of a fifth kind, `secret`, which has no base
+spans. In each round a pattern's score for a kind is the mean score of its distinct instances, and an instance takes the
+best score of its patterns; instances found in one round support further patterns in the next. Patterns with enough
+support and score give their instances, trimmed of punctuation, as new spans of that kind; these must look like it: an @
+within for email, dots for ip, letters and digits for secrets, otherwise as many digits as the kind has. Scores are sums by
+key, combined before each shuffle and written, so that a frequent pattern's rows can be split where they are joined.
 
 Null texts are empty: no spans. Repeated ids are separate rows. Other columns are ignored. A span is start and end
 in code points, the end exclusive.
@@ -24,7 +26,11 @@ from pyspark.sql import functions as F
 
 from packlens.llm.common import documents, written
 
-KINDS = ["email", "ip", "card", "phone"]
+BASE = ["email", "ip", "card", "phone"]
+KINDS = [*BASE, "secret"]
+#: Code points before an instance in which its patterns are sought.
+CONTEXT = 128
+SECRET = r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_-]{24,}$"
 MARK = "\ue000"
 LOCAL = "A-Za-z0-9._%+" + MARK + "-"
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++{MARK}[A-Za-z0-9{MARK}-]++"
@@ -82,9 +88,15 @@ def base_spans(text: Column) -> Column:
 def instances(text: Column) -> Column:
     """array<struct<s, e, m, before>>: words with a digit or an @, and the word before each."""
     found = spans(text, INSTANCE, text.rlike("[0-9@]"), 0)
-    near = lambda x: F.substring(text, F.greatest(F.lit(1), x["s"] - 31), F.least(F.lit(32), x["s"]))
-    word = lambda x: F.regexp_replace(F.lower(F.regexp_extract(near(x), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)), "[0-9]", "#")
-    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), word(x).alias("before")))
+    near = lambda x: F.substring(text, F.greatest(F.lit(1), x["s"] - CONTEXT + 1), F.least(F.lit(CONTEXT), x["s"]))
+    words = lambda x: F.regexp_extract(F.lower(near(x)), r"((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$", 1)
+    two = lambda x: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(words(x), r"[\x20\x09-\x0D]+", " ")), "[0-9]", "#"), "^$", "^")
+    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), two(x).alias("before")))
+
+
+def body(m: Column) -> Column:
+    """An instance without the punctuation around it."""
+    return F.regexp_replace(F.regexp_replace(m, r"^[^A-Za-z0-9+]+", ""), r"[^A-Za-z0-9]+$", "")
 
 
 def named(x: Column) -> Column:
@@ -98,27 +110,29 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = rows.select("id", F.xxhash64("t").alias("th"), base_spans(F.col("t")).alias("base"), instances(F.col("t")).alias("found"))
     base = written(base.withColumn("uid", F.monotonically_increasing_id()), "pii")
     each = base.select("uid", "base", F.inline("found"))
-    each = each.select("uid", "s", "e", "m", "before", F.array_distinct(F.transform(F.filter("base", lambda b: (b["s"] < F.col("e")) & (F.col("s") < b["e"])), lambda b: b["k"])).alias("held"))
-    each = written(each.filter("before <> ''").withColumn("node", F.xxhash64("m")).withColumn("pattern", F.xxhash64("before")), "instances")
+    held = F.transform(F.filter("base", lambda b: (b["s"] < F.col("e")) & (F.col("s") < b["e"])), lambda b: b["k"])
+    secret = F.when(body(F.col("m")).rlike(SECRET), F.array(F.lit(4))).otherwise(F.expr("cast(array() as array<int>)"))
+    each = each.select("uid", "s", "e", "m", F.explode(F.array_distinct(F.array("before", F.substring_index("before", " ", -1)))).alias("before"), F.array_distinct(F.concat(held, F.when(F.size(held) == 0, secret).otherwise(F.expr("cast(array() as array<int>)")))).alias("held"))
+    each = written(each.withColumn("node", F.xxhash64("m")).withColumn("pattern", F.xxhash64("before")), "instances")
     # the graph: distinct (pattern, instance); seeds have score 1 for their kinds
-    kinds = F.explode(F.array(*map(F.lit, range(4)))).alias("k")
-    graph = each.groupBy("pattern", "node").agg(*[F.max(F.array_contains("held", k).cast("double")).alias(f"k{k}") for k in range(4)])
-    graph = written(graph.select("pattern", "node", kinds, F.array("k0", "k1", "k2", "k3").alias("a")).select("pattern", "node", "k", F.element_at("a", F.col("k") + 1).alias("seed")), "graph")
-    seeds = graph.groupBy("node", "k").agg(F.max("seed").alias("seed"))
-    score = seeds.select("node", "k", F.col("seed").alias("score"))
-    patterns = None
+    every = range(len(KINDS))
+    graph = each.groupBy("pattern", "node").agg(*[F.max(F.array_contains("held", k).cast("double")).alias(f"k{k}") for k in every])
+    graph = graph.select("pattern", "node", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("seed")) for k in every])).alias("x"))
+    graph = written(graph.select("pattern", "node", "x.k", "x.seed"), "graph")
+    seeds = written(graph.groupBy("node", "k").agg(F.max("seed").alias("seed")), "seeds")
+    score, patterns = seeds.select("node", "k", F.col("seed").alias("score")), None
     for _ in range(rounds):
-        live = graph.select("pattern", "node", "k").join(score, ["node", "k"])
-        patterns = live.groupBy("pattern", "k").agg(F.avg("score").alias("p"))
-        best = graph.select("pattern", "node", "k").join(patterns, ["pattern", "k"]).groupBy("node", "k").agg(F.max("p").alias("p"))
-        score = written(best.join(seeds, ["node", "k"]).select("node", "k", F.greatest("seed", F.when(F.col("p") >= min_score, F.col("p")).otherwise(0.0)).alias("score")), "scores")
-    support = graph.groupBy("pattern", "k").agg(F.sum("seed").alias("seeds"))
-    good = patterns.join(support, ["pattern", "k"]).filter((F.col("p") >= min_score) & (F.col("seeds") >= min_seeds)).select("pattern", "k")
+        live = graph.select("pattern", "node", "k").join(score.hint("merge"), ["node", "k"])
+        patterns = written(live.groupBy("pattern", "k").agg(F.avg("score").alias("p"), F.sum((F.col("score") >= min_score).cast("long")).alias("support")), "patterns")
+        good = patterns.filter((F.col("p") >= min_score) & (F.col("support") >= min_seeds)).select("pattern", "k", "p")
+        best = written(graph.select("pattern", "node", "k").join(good.hint("merge"), ["pattern", "k"]).groupBy("node", "k").agg(F.max("p").alias("p")), "best")
+        score = written(seeds.join(best.hint("merge"), ["node", "k"], "left").select("node", "k", F.greatest("seed", F.coalesce("p", F.lit(0.0))).alias("score")), "scores")
+    good = good.select("pattern", "k")
     lead = F.length(F.regexp_extract("m", r"^[^A-Za-z0-9+]*", 0))
-    body = F.regexp_replace(F.expr("substring(m, 1 + length(regexp_extract(m, '^[^A-Za-z0-9+]*', 0)))"), r"[^A-Za-z0-9]+$", "")
     n = F.length(digits(F.col("body")))
-    like = F.when(F.col("k") == 0, F.col("body").rlike(".@.")).when(F.col("k") == 1, F.col("body").rlike(r"[0-9]\.[0-9]")).when(F.col("k") == 2, n.between(12, 19)).otherwise(n.between(7, 15))
-    new = each.filter(F.size("held") == 0).join(good, "pattern").withColumns({"s": F.col("s") + lead, "body": body})
+    like = F.when(F.col("k") == 0, F.col("body").rlike(".@.")).when(F.col("k") == 1, F.col("body").rlike(r"[0-9]\.[0-9]")).when(F.col("k") == 2, n.between(12, 19)).when(F.col("k") == 3, n.between(7, 15)).otherwise(F.col("body").rlike("^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_-]{16,}$"))
+    free = each.filter((F.size("held") == 0) | F.array_contains("held", 4))
+    new = free.join(good.hint("merge"), "pattern").withColumns({"s": F.col("s") + lead, "body": body(F.col("m"))})
     new = new.filter(like).groupBy("uid").agg(F.collect_set(F.struct("s", F.col("k").cast("int").alias("k"), (F.col("s") + F.length("body")).alias("e"))).alias("more"))
     slim = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     none = F.expr("cast(array() as array<struct<s: int, k: int, e: int>>)")
@@ -142,5 +156,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
     found = personal_data(documents(spark, sf_dir))
     text = lambda c: F.array_join(F.transform(c, named), ",")
     number = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
-    counts = [number(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [number(i).alias(f"n_{k}") for i, k in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
