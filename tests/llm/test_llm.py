@@ -231,3 +231,34 @@ def test_stages(spark, docs):
     text = now.filter("doc_id = 9").first().text
     assert text == "mail [EMAIL], [IP] or [PHONE] card [CARD]" and now.filter("doc_id = 5").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() >= now.count()
+
+
+def test_pipeline(spark, tmp_path):
+    """run() over a small table with nulls, repeated rows, a very long text and clashing names."""
+    ship(spark)
+    en = "the quick brown fox and the lazy dog of this house go over there with some more words "
+    rows = [(i, en * 3 + f"number{i} ends here", "en", "s", 1, "x", "y") for i in range(60)]
+    rows += [(60, None, None, None, None, None, None), (61, "", "en", "s", 0, "x", "y"), (None, en, "en", None, 1, "x", "y"), rows[0], (63, en * 9000, "en", "s", 1, "x", "y")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, __id string, __rejected string"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out if r.doc_id is not None} >= {0, 63} and not {60, 61} & {r.doc_id for r in out}
+    assert sum(r.length for r in out if r.doc_id == 63) == next(r.doc_tokens for r in out if r.doc_id == 63)
+
+
+def test_secrets_are_found(spark):
+    rows = [(i, f'some words here token = "{hashlib.sha1(str(i).encode()).hexdigest()}" more words') for i in range(9)] + [(9, 'other words token = "abcd1234abcd1234" end')]
+    got = {r.doc_id: [(x.k, x.s, x.e) for x in r.spans] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == [(4, 25, 65)] for i in range(9)) and got[9] == [(4, 21, 37)]
+
+
+def test_tokens_are_the_library_s():
+    """Words of every kind and long words, and numbers coded for the positions."""
+    rng = np.random.default_rng(1)
+    alphabet = list("abcdefghijklmnopqrstuvwxyzABCXYZ0123456789'.,-<|>éüñ日")
+    found = ["".join(rng.choice(alphabet, rng.integers(1, 14))) for _ in range(3000)] + ["aaaa" * 40, "ab" * 500, "a" * 7, "<|endoftext|>"]
+    t = bpe.tokenizer(bpe.vocabulary())
+    ids, bounds = bpe.encode_words(bpe.vocabulary(), [w.encode() for w in found])
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [e.ids for e in t.encode_batch(found, add_special_tokens=False)]
+    for x in (np.zeros(0, np.int64), np.array([0, 1, 2, 3, 255, 256, 511, 512, 99999, 2**30]), rng.integers(0, 5000, 1000)):
+        assert (bpe.decoded(bpe.coded(x)) == x).all()
