@@ -238,7 +238,7 @@ def test_pipeline(spark, tmp_path):
     ship(spark)
     en = "the quick brown fox and the lazy dog of this house go over there with some more words "
     rows = [(i, en * 3 + f"number{i} ends here", "en", "s", 1, "x", "y") for i in range(60)]
-    rows += [(60, None, None, None, None, None, None), (61, "", "en", "s", 0, "x", "y"), (None, en, "en", None, 1, "x", "y"), rows[0], (63, en * 9000, "en", "s", 1, "x", "y")]
+    rows += [(60, None, None, None, None, None, None), (61, "", "en", "s", 0, "x", "y"), (None, en, "en", None, 1, "x", "y"), rows[0], (63, " ".join(f"the lazy dog of house number{i} go over there" for i in range(20_000)), "en", "s", 1, "x", "y")]
     columns = "doc_id long, text string, lang string, source string, n_chars long, __id string, __rejected string"
     spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
