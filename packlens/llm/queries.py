@@ -16,4 +16,4 @@ QUERIES = {
     "op9_fingerprints": fingerprint.op9,
     "op10_substring_dedup": substrings.op10,
 }
-SQL = {"op7_exact_dedup": dedup.OP7_SQL}
+SQL = {"op6_jaccard_join": jaccard.OP6_SQL, "op7_exact_dedup": dedup.OP7_SQL, "op10_substring_dedup": substrings.OP10_SQL}

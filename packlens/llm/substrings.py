@@ -125,5 +125,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumnRenamed("id", id_col)
 
 
+OP10_SQL = r"""WITH cut AS MATERIALIZED (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS MATERIALIZED (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM cut)),
+spans AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+out AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM spans),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM cut),
+marked AS (SELECT doc_id, count(*) AS n, count(out.i) AS gone, coalesce(string_agg(CASE WHEN out.i IS NULL THEN word END, ' ' ORDER BY i), '') AS kept FROM each LEFT JOIN out USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM cut LEFT JOIN marked USING (doc_id)"""
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).drop("kept_text")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from packlens.llm import bpe, dedup, fingerprint, jaccard, langid, licenses, lines, packing, pii, substrings
+from packlens.llm import bpe, dedup, fingerprint, jaccard, langid, licenses, lines, packing, pii, queries, substrings
 from packlens.session import ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, th long, rejected string"
@@ -49,6 +49,19 @@ def test_jaccard(docs, none):
     assert not jaccard.jaccard_components(none).collect()
 
 
+@pytest.mark.parametrize("name", ["op6_jaccard_join", "op10_substring_dedup"])
+def test_sql_of_queries(spark, tmp_path, name):
+    """The query and its SQL over texts with copies, near copies, nulls and a text that repeats itself."""
+    ship(spark)
+    near = [BASE.replace(f"w{i} ", "zz ") for i in range(0, 60, 7)]
+    spark.createDataFrame(list(enumerate(TEXTS + near)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()) == sorted(want.fetchall())
+
+
 def test_golomb():
     for n in (1, 2, 50, 3000):
         x = np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64))
