@@ -44,6 +44,12 @@ def byte_size(n: Column) -> Column:
     return out
 
 
+def size_difference(size: Column, reference: Column) -> Column:
+    """The size and its percentage of the reference with one decimal; null for a reference of 0."""
+    tenths = F.when(reference != 0, F.round(size * 1000 / reference).cast("long"))
+    return F.concat(byte_size(size), F.lit(" ("), (tenths / 10).cast("long"), F.lit("."), tenths % 10, F.lit("%)"))
+
+
 def binary_size(n: Column, top: str = "TiB") -> Column:
     """struct<value, unit> in binary units; format at the edge."""
     units = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
@@ -138,3 +144,23 @@ class Settings:
         bound = {"zstd": (-5, 22), "lz4": (1, 12), "lzma": (0, 0)}
         cut = lambda c, x: min(max(x, bound.get(c, (1, 1))[0]), bound.get(c, (1, 1))[1])
         return replace(self, chunk_size=chunk, solid_size=solid, solid_level=cut(self.solid_codec, self.solid_level), chunk_level=cut(self.chunk_codec, self.chunk_level))
+
+
+# Presets as name, solid block size, chunk size, codec and level of both, dictionary for each extension.
+PRESETS = [
+    ("LocalArchivalSSD", 16_777_215, 536_870_912, "lzma", 9, False),
+    ("LocalArchivalSSD32BitTarget", 16_777_215, 16_777_216, "lzma", 9, True),
+    ("LocalArchivalNVME", 536_870_911, 536_870_912, "zstd", 22, False),
+    ("LocalArchivalNVME32BitTarget", 16_777_215, 16_777_216, "zstd", 22, True),
+    ("WebUploadGeneric", 1_048_575, 268_435_456, "bzip3", 0, False),
+    ("WebUploadSpecialized", 0, 16_777_216, "bzip3", 0, False),
+    ("GameBulkLoad", 16_777_215, 536_870_912, "zstd", 12, True),
+    ("GameBulkLoad32BitTarget", 16_777_215, 16_777_216, "zstd", 12, True),
+    ("LowLatencyVFS", 0, 131_072, "zstd", 12, True),
+]
+
+
+def preset(name: str) -> tuple[Settings, bool]:
+    """Settings of a preset, not yet cut to their bounds, and whether extensions have dictionaries."""
+    _, solid, chunk, codec, level, dictionaries = next(p for p in PRESETS if p[0] == name)
+    return Settings(solid, chunk, codec, codec, level, level), dictionaries

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -64,6 +66,55 @@ def decompress(packed: Column, size: Column, method: str = "zstd") -> Column:
     return run(packed, size)
 
 
+def compress_within(content: Column, most: int, level: int = 12, step: int = 65_536) -> Column:
+    """struct<bytes, stopped>: zstd in steps, given up (bytes null) as soon as more than `most` bytes came out."""
+
+    @F.pandas_udf("bytes binary, stopped boolean")
+    def run(content: pd.Series) -> pd.DataFrame:
+        compressor = _compressor(level)
+
+        def one(x):
+            if x is None:
+                return None, None
+            x, out, size = bytes(x), [], 0
+            stream = compressor.compressobj(len(x))
+            for i in [*range(0, len(x), step), None]:
+                out.append(stream.flush() if i is None else stream.compress(x[i : i + step]) + stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK))
+                size += len(out[-1])
+                if x and size > most:
+                    return None, True
+            return b"".join(out), False
+
+        return pd.DataFrame([one(x) for x in content], columns=["bytes", "stopped"])
+
+    return run(content)
+
+
+def decoded_chunks(rows: DataFrame, id_col: str, size: int) -> DataFrame:
+    """rows: id, packed (struct of compress() by zstd). Rows (id, chunk_index, content): `size` bytes each but the last,
+    read one by one; a task holds one packed value and a batch of chunks."""
+
+    def run(batches):
+        for b in batches:
+            for i, packed in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                if packed is None or packed["bytes"] is None:
+                    continue
+                raw = io.BytesIO(packed["bytes"])
+                reader = raw if packed["used_copy"] else zstandard.ZstdDecompressor(format=zstandard.FORMAT_ZSTD1_MAGICLESS).stream_reader(raw)
+                for k, chunk in enumerate(iter(lambda: reader.read(size), b"")):
+                    yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], b.schema.types[0]), pa.array([k], pa.int64()), pa.array([chunk], pa.binary())], [id_col, "chunk_index", "content"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(id_col, "packed").mapInArrow(run, f"`{id_col}` {kind}, chunk_index long, content binary")
+
+
+def most_bytes(n: Column) -> Column:
+    """Most bytes that n may take with any codec here: the published bounds of zstd and lz4."""
+    part = lambda x, d: F.floor(x / F.lit(d)).cast("long")
+    zstd = n + part(n, 256) + F.when(n < 131_072, part(131_072 - n, 2048)).otherwise(0)
+    return F.greatest(zstd, n + part(n, 255) + 16)
+
+
 @F.pandas_udf(LongType())
 def zstd16_size(content: pd.Series) -> pd.Series:
     """Bytes of an ordinary level 16 frame."""
@@ -119,3 +170,17 @@ def strategy_summary(rows: DataFrame) -> DataFrame:
 
 def weighted_speed(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg((F.sum(F.col("speed") * F.col("size")) / F.sum("size")).alias("speed"))
+
+
+def with_dictionary_cost(blocks: DataFrame, dictionaries: DataFrame, by: str) -> DataFrame:
+    """blocks: by, original, no_dict, with_dict; dictionaries: by, dictionary (its compressed bytes, once a group)."""
+    sums = blocks.groupBy(by).agg(*[F.sum(n).alias(n) for n in ("original", "no_dict", "with_dict")]).join(dictionaries, by)
+    save = lambda x: (1 - F.col(x) / F.col("original")) * 100
+    out = sums.select(by, "original", "no_dict", (F.col("with_dict") + F.col("dictionary")).alias("total_with_dict"))
+    return out.select("*", save("no_dict").alias("savings_no_dict"), save("total_with_dict").alias("savings_with_dict"), (save("total_with_dict") - save("no_dict")).alias("difference"))
+
+
+def speed_averages(rows: DataFrame, by: str) -> DataFrame:
+    """rows: by, without_dict, with_dict. Averages of each group and, with a null key, of all rows."""
+    more = F.avg(F.col("with_dict") - F.col("without_dict"))
+    return rows.rollup(by).agg(F.avg("without_dict").alias("without_dict"), F.avg("with_dict").alias("with_dict"), more.alias("difference"), (more / F.avg("without_dict") * 100).alias("percent"))
