@@ -184,6 +184,37 @@ def test_similar_lines_are_found(spark):
     assert [r.doc_id for r in lines.fuzzy_lines(wide).collect() if r.kept] == [0]
 
 
+@pytest.mark.parametrize("letters,low,high", [("abc", 1, 30), ("abcdé日", 50, 80), ("abcdefgh ", 60, 300)])
+def test_edit_distances_of_many_pairs(letters, low, high):
+    """Equal to one pair at a time, of which small ones are compared with the plain recurrence."""
+    rng = np.random.default_rng(high)
+    a = ["".join(rng.choice(list(letters), rng.integers(low, high))) for _ in range(700)]
+    b = []
+    for x in a:
+        y = list(x)
+        for i in rng.integers(0, len(y) + 1, rng.integers(0, 2 + len(y) // 5)).tolist():
+            y[i : i + int(rng.integers(2))] = list(rng.choice(list(letters), rng.integers(2)))
+        b.append("".join(y))
+    most = np.array([max(len(x), len(y)) // 10 for x, y in zip(a, b, strict=True)])
+    want = [lines.levenshtein(x, y, m) <= m for x, y, m in zip(a, b, most.tolist(), strict=True)]
+    assert lines.all_within(a, b, most).tolist() == want and 0 < sum(want) < len(a)
+    for x, y in zip(a[:20], b[:20], strict=True):
+        d = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, d[0] = d[0], i
+            for j, e in enumerate(y, 1):
+                last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (c != e))
+        assert lines.levenshtein(x, y, 999) == d[-1]
+
+
+def test_simhashes_that_differ_in_the_highest_bit(spark):
+    """Two lines with one key are listed as a pair; neighbours on either side keep the run from the task's border."""
+    keys = [(4, 40, 0, 0), (5, 40, 1, 3), (5, 40, 2, 3 - 2**63), (6, 40, 3, 0)]
+    rows = spark.createDataFrame(keys, "key long, size int, uid long, sim long")
+    got = {(r.a, r.b) for r in lines.turn(rows, 4, 0.9, lines.RADIUS, False).filter("side = 0").collect()}
+    assert got == {(1, 2)}
+
+
 def test_short_lines_are_grouped_exactly(spark):
     df = spark.createDataFrame([(1, "Read more\n\nRead  mode"), (2, "read more\n\n \nread more")], "doc_id long, text string")
     got = {(r.doc_id, r.line): (r.kept, r.size) for r in lines.fuzzy_lines(df).collect()}
