@@ -197,6 +197,7 @@ def test_edit_distances_of_many_pairs(letters, low, high):
         b.append("".join(y))
     most = np.array([max(len(x), len(y)) // 10 for x, y in zip(a, b, strict=True)])
     want = [lines.levenshtein(x, y, m) <= m for x, y, m in zip(a, b, most.tolist(), strict=True)]
+    assert not len(lines.all_within([], [], most[:0])) and lines.all_within(["ab"], ["ab"], most[:1]).all()
     assert lines.all_within(a, b, most).tolist() == want and 0 < sum(want) < len(a)
     for x, y in zip(a[:20], b[:20], strict=True):
         d = list(range(len(y) + 1))
