@@ -12,10 +12,10 @@ BLOCKS are not compared. Lines of few words have two blocks, their first and the
 block and whose whole SimHashes differ in RADIUS bits at most are verified by edit distance. Edits that touch most words
 of a line can be missed.
 
-Blocks are ordered by key, size and line. A run of up to RUN equal keys gives its pairs. The members of longer runs (of
-frequent words, or near copies) meet again by pairs of blocks, those of few words by a block and a byte of the SimHash;
-lines of long runs that agree in that one block only are not compared. What is in a longer run even then, and in a short one at a
-task's border, is connected along its sizes, and the groups so made are searched exactly, in blocks.
+Blocks are ordered by key, size and line. A run of equal keys, however long, gives every pair that may link by size and
+SimHash. Only pairs of two lines that each have more than RUN such partners in one run (near copies) are not listed: they
+connect those lines, and the groups so made are searched exactly, in blocks. So are runs at a task's border, and runs of more than HELD
+lines, which are connected along their sizes.
 
 Null texts have no lines. Repeated rows count as further occurrences. Other columns are ignored. An empty table gives no
 rows.
@@ -39,8 +39,10 @@ from packlens.llm.groups import Forest, grouped_links
 
 #: Blocks of a line that are compared, words in one at least, and bits in which two whole SimHashes may differ.
 BLOCKS, WORDS, RADIUS = 6, 3, 16
-#: Lines with one key of which all pairs are listed.
+#: Lines with one key of which all pairs are listed at once, and partners of a line in a longer run above which it is searched in a group.
 RUN = 32
+#: Lines with one key that a task holds.
+HELD = 200_000
 #: Pairs of runs that are compared at once.
 PAIRS = 1 << 18
 #: Keys that one task sorts and walks over, about.
@@ -49,8 +51,8 @@ TASK_KEYS = 2_000_000
 BLOCK_BYTES = 1_000_000
 #: Pairs whose edit distances are sought at once, characters of lines held for that, and pairs a word below which they are sought one by one.
 LOT, CELLS, FEW = 16_384, 1 << 20, 12
-#: Bins of a line's trigram profile.
-PROFILE = 128
+#: Bins of a line's trigram profile, and pairs that are sifted by it at once.
+PROFILE, SIFTED = 1024, 2048
 #: For each byte, its bits in eight lanes.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -134,8 +136,16 @@ def trimmed(a: str, b: str) -> tuple[str, str]:
     return a[: len(a) - tail], b[: len(b) - tail]
 
 
+def by_words(a: str, b: str, most: int) -> bool:
+    """Whether words changed in place, with no word more or less, already explain a distance of `most` at most."""
+    x, y = a.split(" "), b.split(" ")
+    return len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y, strict=True) if u != v) <= most
+
+
 def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most `most`."""
+    if by_words(a, b, most):
+        return True
     a, b = trimmed(a, b)
     return max(len(a), len(b)) <= most or levenshtein(a, b, most) <= most
 
@@ -185,6 +195,9 @@ def all_within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     """within() of each pair; pairs of like lengths are compared together."""
     ok, some = np.zeros(len(a), bool), []
     for i in range(len(a)):
+        if by_words(a[i], b[i], most[i]):
+            ok[i] = True
+            continue
         x, y = trimmed(a[i], b[i])
         if max(len(x), len(y)) <= most[i]:
             ok[i] = True
@@ -210,11 +223,26 @@ def all_within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     return ok
 
 
-def profile(line: str) -> np.ndarray:
-    """How many of the line's trigrams fall in each of PROFILE bins."""
-    c = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.int64)
-    grams = (c[:-2] * 961 + c[1:-1] * 31 + c[2:]) if len(c) > 2 else c[:0]
-    return np.bincount(grams % PROFILE, minlength=PROFILE).astype(np.int32)
+def profiles(lines: list[str]) -> np.ndarray:
+    """How many of each line's trigrams fall in each of PROFILE bins, up to 255."""
+    out = np.zeros((len(lines), PROFILE), np.uint8)
+    for i in range(0, len(lines), 512):
+        some = lines[i : i + 512]
+        c = np.frombuffer("".join(some).encode("utf-32-le"), "<u4").astype(np.uint64)
+        n = np.array([*map(len, some)])
+        if len(c) < 3:
+            continue
+        line = np.repeat(np.arange(len(some)), n)
+        grams = (c[:-2] * np.uint64(961) + c[1:-1] * np.uint64(31) + c[2:]) * np.uint64(2654435761) >> np.uint64(7)
+        whole = line[:-2] == line[2:]
+        at = line[:-2][whole] * PROFILE + (grams[whole] % np.uint64(PROFILE)).astype(np.int64)
+        out[i : i + 512] = np.minimum(np.bincount(at, minlength=len(some) * PROFILE), 255).reshape(-1, PROFILE)
+    return out
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how many trigrams the profiles differ, at least. One edit changes three trigrams of each line at most."""
+    return (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
 
 
 class LineIndex:
@@ -225,13 +253,13 @@ class LineIndex:
         offs, data = tv.utf8(pa.array(texts, pa.large_string()))
         starts, ends, first = tv.words(offs, data)
         sims = simhash(tv.rolled(tv.BYTES[data], starts, ends), first[:-1])
-        return list(zip(texts, map(profile, texts), sims, strict=True))
+        return list(zip(texts, profiles(list(texts)), sims, strict=True))
 
     def hold(self, items: list) -> None:
         self.held = items
         self.sims = np.array([x[2] for x in items], np.uint64)
         self.lens = np.array([len(x[0]) for x in items], np.int64)
-        self.grams = np.array([x[1] for x in items], np.int32).reshape(-1, PROFILE)
+        self.grams = np.array([x[1] for x in items], np.uint8).reshape(-1, PROFILE)
 
     def linked(self, x, label: np.ndarray | None = None, own: int | None = None) -> np.ndarray:
         """Numbers of the held lines that link with x. With labels: one at least of each label but `own` that has any."""
@@ -239,8 +267,7 @@ class LineIndex:
         most = ((1 - self.similarity) * longer + 1e-9).astype(np.int64)
         may = (np.abs(self.lens - len(x[0])) <= most) & (np.bitwise_count(self.sims ^ x[2]) <= self.radius)
         may = np.flatnonzero(may if label is None else may & (label != own))
-        # one edit changes three trigrams of each line at most
-        far = np.abs(self.grams[may] - x[1]).sum(axis=1)
+        far = apart(self.grams[may], x[1])
         may, far = may[far <= 6 * most[may]], far[far <= 6 * most[may]]
         out, seen = [], set()
         for i in may[np.argsort(far, kind="stable")].tolist():
@@ -308,10 +335,10 @@ def lots(batches, size: int = 200_000):
 MET = "side int, a long, b long, part int, key long, size int"
 
 
-def meeting(similarity: float, radius: int, last_turn: bool):
-    """Rows (key, size, uid, sim), sorted: the pairs (a, b) of each run that may link by size and SimHash (side 0). Of
-    longer runs the rows (side 4), or in the last turn neighbours of sizes that may link (side 3), as of short runs at the
-    task's borders. The task's first and last row (side 1 and 2)."""
+def meeting(similarity: float, radius: int, along: bool):
+    """Rows (key, size, uid, sim), sorted: the pairs (a, b) of each run that may link by size and SimHash (side 0); of lines
+    with many such partners in a run, and of runs at the task's borders or too long to hold, edges that connect what may
+    link (side 3); with `along`, of all runs of more than RUN. The task's first and last row (side 1 and 2)."""
 
     def near(x, y):
         return np.abs(x - y) <= ((1 - similarity) * np.maximum(x, y) + 1e-9).astype(np.int64)
@@ -321,20 +348,56 @@ def meeting(similarity: float, radius: int, last_turn: bool):
         every = (np.full(n, side, np.int32), a, b, np.full(n, part, np.int32), np.zeros(n, np.int64) + key, np.zeros(n, np.int32) + size)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in every], ["side", "a", "b", "part", "key", "size"])
 
-    def long_run(rows, part, border=False):
+    def by_sizes(rows, part):
         key, size, uid, _ = rows
-        if not last_turn and not (border and len(key) <= RUN):
-            return listed(4, uid, uid, part, key, size)
         met = np.flatnonzero((key[1:] == key[:-1]) & near(size[1:], size[:-1]))
         return listed(3, uid[met], uid[met + 1], part)
 
+    def close(size, sim):
+        """Places (i, j), i before j, of the pairs of a run that may link."""
+        n = len(size)
+        end = np.searchsorted(size, size / max(similarity, 1e-9) + 1, "right")
+        step = max(1, PAIRS // n)
+        for k in range(0, n, step):
+            last, own = int(end[min(n, k + step) - 1]), slice(k, min(n, k + step))
+            i, j = np.nonzero(np.bitwise_count(sim[own, None] ^ sim[None, k:last]) <= radius)
+            may = (j > i) & near(size[k + i], size[k + j])
+            yield k + i[may], k + j[may]
+
+    def long_run(rows, part):
+        _, size, uid, sim = rows
+        n, sim = len(uid), sim.view(np.uint64)
+        pairs = lambda i, j: listed(0, *np.sort(np.stack([uid[i], uid[j]]), axis=0), part)
+        found, partners = [], np.zeros(n, np.int64)
+        for i, j in close(size, sim):
+            partners += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+            if found is not None:
+                found.append((i, j))
+                found = found if partners.sum() <= 2 * RUN * n else None
+        if found is not None:
+            yield pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            return
+        many, label, forest = partners > RUN, np.arange(n), Forest()
+        for i, j in close(size, sim):
+            both = many[i] & many[j]
+            yield pairs(i[~both], j[~both])
+            x, y = label[i[both]], label[j[both]]
+            x, y = x[x != y], y[x != y]
+            if len(x):
+                forest.add(x, y)
+                ends, to = np.unique(np.append(x, y)), np.arange(n)
+                to[ends] = [forest.find(v) for v in ends.tolist()]
+                label = to[label]
+        for x, y in forest.edges():
+            yield listed(3, uid[x], uid[y], part)
+
     def runs(rows, part):
         key, size, uid, sim = rows
         if not len(key):
             return
         starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
         count = np.diff(starts, append=len(key))
-        sim, found, n_found = sim.view(np.uint64), [], 0  # bitwise_count takes signed numbers' absolute values
+        every, (sim, found, n_found) = rows, (sim.view(np.uint64), [], 0)  # bitwise_count takes signed numbers' absolute values
         for n in np.unique(count[(count > 1) & (count <= RUN)]).tolist():
             own, (i, j) = starts[count == n], np.triu_indices(n, 1)
             step = max(1, PAIRS // len(i))
@@ -348,9 +411,12 @@ def meeting(similarity: float, radius: int, last_turn: bool):
                     found, n_found = [], 0
         if n_found:
             yield listed(0, *np.sort(np.concatenate(found, axis=1), axis=0), part)
-        long = np.repeat(count > RUN, count)
-        if long.any():
-            yield long_run([x[long] for x in rows], part)
+        for k, n in zip(starts[count > RUN].tolist(), count[count > RUN].tolist(), strict=True):
+            own = [x[k : k + n] for x in every]
+            if along:
+                yield by_sizes(own, part)
+            else:
+                yield from long_run(own, part)
 
     def walk(batches):
         part, held, border, ends = TaskContext.get().partitionId(), None, True, []
@@ -362,17 +428,17 @@ def meeting(similarity: float, radius: int, last_turn: bool):
             last = int(np.searchsorted(rows[0], rows[0][-1]))
             if last and border:  # the task's first run, or one too long to hold
                 end = int(np.searchsorted(rows[0], rows[0][0], "right"))
-                yield long_run([x[:end] for x in rows], part, True)
+                yield by_sizes([x[:end] for x in rows], part)
                 yield from runs([x[end:last] for x in rows], part)
                 border = False
             else:
                 yield from runs([x[:last] for x in rows], part)
             held = [x[last:] for x in rows]
-            if len(held[0]) > 20_000:
-                yield long_run(held, part)
+            if len(held[0]) > HELD:
+                yield by_sizes(held, part)
                 held, border = [x[-1:] for x in held], True
         if held is not None:
-            yield long_run(held, part, True)
+            yield by_sizes(held, part)
             for side, (key, size, uid, _) in ((1, ends[0]), (2, [x[-1:] for x in held])):
                 yield listed(side, uid, uid, part, key[0], size[0])
 
@@ -380,70 +446,63 @@ def meeting(similarity: float, radius: int, last_turn: bool):
 
 
 def tested(similarity: float):
-    """Rows (a, b, x, y): a forest of the pairs whose lines x and y link."""
+    """Rows (a, b, x, y): a forest of the pairs whose lines x and y link. Likely pairs are tested first; pairs that the
+    forest joins by then need no test."""
 
     def test(batches):
         forest = Forest()
         for batch in batches:
             for i in range(0, batch.num_rows, LOT):
                 a, b, x, y = (c.to_pylist() for c in batch.slice(i, LOT).columns)
-                apart = [k for k in range(len(a)) if forest.find(a[k]) != forest.find(b[k])]
-                most = np.array([(1 - similarity) * max(len(x[k]), len(y[k])) + 1e-9 for k in apart]).astype(np.int64)
-                met = all_within([x[k] for k in apart], [y[k] for k in apart], most)
-                linked = [k for k, ok in zip(apart, met.tolist(), strict=True) if ok]
-                forest.add(np.array([a[k] for k in linked], np.int64), np.array([b[k] for k in linked], np.int64))
+                at = {u: t for u, t in zip(a + b, x + y, strict=True)}
+                place, profile = dict(zip(at, range(len(at)), strict=True)), profiles(list(at.values()))
+                most = ((1 - similarity) * np.array([max(map(len, t)) for t in zip(x, y, strict=True)]) + 1e-9).astype(np.int64)
+                one, two = (np.array([place[u] for u in ids]) for ids in (a, b))
+                far = np.concatenate([apart(profile[one[k : k + SIFTED]], profile[two[k : k + SIFTED]]) for k in range(0, len(a), SIFTED)])
+                order = np.argsort(far / np.maximum(most, 1), kind="stable")
+                order = order[far[order] <= 6 * most[order]]
+                for n in range(0, len(order), SIFTED):
+                    some = [k for k in order[n : n + SIFTED].tolist() if forest.find(a[k]) != forest.find(b[k])]
+                    met = all_within([x[k] for k in some], [y[k] for k in some], most[some])
+                    linked = [k for k, ok in zip(some, met.tolist(), strict=True) if ok]
+                    forest.add(np.array([a[k] for k in linked], np.int64), np.array([b[k] for k in linked], np.int64))
         for a, b in forest.edges():
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return test
 
 
-def paired(batches):
-    """Rows (uid, size, sim, keys, wide): a row for each pair of a wide key and another key, or byte of the SimHash, of the line."""
-    for b in batches:
-        out: list[list] = [[], [], [], []]
-        for uid, size, sim, keys, wide in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            pairs = {(min(x, y), max(x, y)) for x in wide for y in keys if x != y}
-            if len(keys) <= 2:  # few words: with the eight bytes of the SimHash
-                pairs |= {(x, j << 8 | sim >> 8 * j & 255) for x in wide for j in range(8)}
-            for c, v in zip(out, ([(x * 31 + (y ^ y >> 29)) & (1 << 64) - 1 for x, y in pairs], [size] * len(pairs), [uid] * len(pairs), [sim] * len(pairs)), strict=True):
-                c.extend(v)
-        key = tv.mix(np.array(out[0], np.uint64), 56).view(np.int64)
-        for i in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)], t) for x, t in zip((key, *out[1:]), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["key", "size", "uid", "sim"])
-
-
-def turn(rows: DataFrame, count: int, similarity: float, radius: int, last_turn: bool) -> DataFrame:
-    """Written table of what meets; with the links (side 3) across tasks: the last row of one and the first of the next."""
+def turn(rows: DataFrame, count: int, similarity: float, radius: int, along: bool = False) -> DataFrame:
+    """Written table of what meets (see meeting()); with the links (side 3) across tasks: the last row of one and the first of the next."""
     parts = max(1, -(-count // TASK_KEYS))
     rows = rows.repartitionByRange(parts, "key", "size", "uid").sortWithinPartitions("key", "size", "uid").select("key", "size", "uid", "sim")
-    met = written(rows.mapInArrow(meeting(similarity, radius, last_turn), MET), "met")
+    met = written(rows.mapInArrow(meeting(similarity, radius, along), MET), "met")
     ends = met.filter("side in (1, 2)").groupBy("part").agg(F.min(F.when(F.col("side") == 1, F.struct("key", "size", "a"))).alias("head"), F.min(F.when(F.col("side") == 2, F.struct("key", "size", "a"))).alias("tail"))
     ends = ends.withColumn("next", F.lead("head").over(Window.partitionBy(F.lit(0)).orderBy("part"))).filter("tail.key = next.key")
-    return met.unionByName(ends.select(F.lit(3).alias("side"), F.col("tail.a").alias("a"), F.col("next.a").alias("b"), "part", "tail.key", "tail.size"))
+    out = met.unionByName(ends.select(F.lit(3).alias("side"), F.col("tail.a").alias("a"), F.col("next.a").alias("b"), "part", "tail.key", "tail.size"))
+    out.written_at = met.written_at
+    return out
 
 
-def similar(texts: DataFrame, distinct: DataFrame, similarity: float, radius: int, block_bytes: int) -> DataFrame:
-    """Links (a, b) of distinct lines. texts: uid, text of lines long enough; distinct: uid."""
+def similar(every: DataFrame, distinct: DataFrame, similarity: float, radius: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) of distinct lines. every: line_rows(), which are deleted when they have been read; distinct: uid."""
+    texts = every.filter("text is not null").select("uid", "text")
     keys = texts.mapInArrow(hashed, "uid long, size int, sim long, keys array<long>").join(distinct.select("uid").hint("merge"), "uid")
     keys = written(keys.select("uid", "size", "sim", "keys"), "keys")
-    met = turn(keys.select(F.explode("keys").alias("key"), "size", "uid", "sim"), keys.agg(F.sum(F.size("keys"))).first()[0] or 0, similarity, radius, False)
-    # lines of long runs meet again by pairs of blocks
-    wide = met.filter("side = 4").groupBy(F.col("a").alias("uid")).agg(F.collect_set("key").alias("wide"))
-    wide = written(keys.join(wide.hint("merge"), "uid").mapInArrow(paired, "key long, size int, uid long, sim long"), "wide")
-    again = turn(wide, wide.count(), similarity, radius, True)
-    spent(keys, wide)
-    met = met.unionByName(again)
+    met = turn(keys.select(F.explode("keys").alias("key"), "size", "uid", "sim"), keys.agg(F.sum(F.size("keys"))).first()[0] or 0, similarity, radius)
+    spent(keys)
     pairs = written(met.filter("side = 0").select("a", "b").distinct(), "pairs")
     groups = components(met.filter("side = 3").select("a", "b")).select(F.col("id").alias("uid"), F.col("component").alias("grp"))
     groups = written(groups, "groups")
+    spent(met)
     sought = pairs.select(F.explode(F.array("a", "b")).alias("uid")).union(groups.select("uid")).distinct()
     found = written(texts.join(sought.hint("merge"), "uid"), "sought")
+    spent(every)
     both = pairs.join(found.select(F.col("uid").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
     both = both.join(found.select(F.col("uid").alias("b"), F.col("text").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
     links = written(both.mapInArrow(tested(similarity), "a long, b long"), "links")
     rows = written(found.join(groups.hint("merge"), "uid").select(F.col("uid").alias("id"), "grp", "text"), "members")
-    spent(pairs, found, groups)  # `met` goes when the JVM ends
+    spent(pairs, found, groups)
     sizes = written(rows.groupBy("grp").agg(F.ceil(F.sum(F.length("text")) / block_bytes).cast("int").alias("blocks")), "sizes")
     rows = rows.join(sizes.hint("merge"), "grp").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     return links.union(grouped_links(rows, LineIndex(similarity, radius)))
@@ -452,10 +511,11 @@ def similar(texts: DataFrame, distinct: DataFrame, similarity: float, radius: in
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.9, min_chars: int = 24, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per line: id, line, group (uid of its group's first known line; null if empty), size, kept."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    every = line_rows(docs, min_chars)
+    texts = line_rows(docs, min_chars)
+    every = written(texts.drop("text"), "numbered")  # the texts go when they have been compared
     named = every.filter("k1 is not null")
     distinct = written(named.groupBy("k1", "k2").agg(F.min("uid").alias("uid"), F.count("*").alias("n")), "distinct")
-    found = components(similar(named.filter("text is not null").select("uid", "text"), distinct, similarity, radius, block_bytes)).select(F.col("id").alias("uid"), "component")
+    found = components(similar(texts, distinct, similarity, radius, block_bytes)).select(F.col("id").alias("uid"), "component")
     groups = written(distinct.join(found.hint("merge"), "uid", "left").select("k1", "k2", F.coalesce("component", "uid").alias("grp")), "groups")
     lines = written(named.select("uid", "id", "line", "k1", "k2").join(groups.hint("merge"), ["k1", "k2"]).select("uid", "id", "line", "grp"), "grouped")
     first = written(lines.groupBy("grp").agg(F.min(F.struct("id", "line", "uid")).alias("first"), F.count("*").alias("size")), "first")

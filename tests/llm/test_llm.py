@@ -216,6 +216,23 @@ def test_simhashes_that_differ_in_the_highest_bit(spark):
     assert got == {(1, 2)}
 
 
+def test_lines_of_one_frequent_block_are_all_compared(spark):
+    """A run of one key that is longer than RUN, between two other keys: every pair within the radius is listed, or, of
+    near copies, connected."""
+    rng = np.random.default_rng(5)
+    sims = [int(x) for x in rng.integers(-(2**63), 2**63, 120)]
+    sims[90] = sims[10] ^ 7
+    rows = [(4, 40, -1, 0), *[(5, 40, i, x) for i, x in enumerate(sims)], (6, 40, -2, 0)]
+    met = lines.turn(spark.createDataFrame(rows, "key long, size int, uid long, sim long"), len(rows), 0.9, lines.RADIUS, False).collect()
+    want = {(i, j) for j in range(120) for i in range(j) if (sims[i] ^ sims[j]).bit_count() <= lines.RADIUS and (sims[i] < 0) == (sims[j] < 0)}
+    assert (10, 90) in want and {(r.a, r.b) for r in met if r.side == 0} == want
+    rows = [(4, 40, -1, 0), *[(5, 40, i, 1 << i % 60) for i in range(200)], *[(5, 40, 1000 + i, x) for i, x in enumerate(sims)], (6, 40, -2, 0)]
+    met = lines.turn(spark.createDataFrame(rows, "key long, size int, uid long, sim long"), len(rows), 0.9, lines.RADIUS, False).collect()
+    joined = lines.Forest()
+    joined.add(*(np.array([getattr(r, c) for r in met if r.side == 3]) for c in "ab"))
+    assert len({joined.find(i) for i in range(200)}) == 1 and (1010, 1090) in {(r.a, r.b) for r in met if r.side == 0}
+
+
 def test_short_lines_are_grouped_exactly(spark):
     df = spark.createDataFrame([(1, "Read more\n\nRead  mode"), (2, "read more\n\n \nread more")], "doc_id long, text string")
     got = {(r.doc_id, r.line): (r.kept, r.size) for r in lines.fuzzy_lines(df).collect()}
