@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def groups(files: DataFrame, order: str = "ord") -> DataFrame:
@@ -26,14 +28,49 @@ def fold_blocks(items: Column, block_size: int, oversized: bool = False) -> Colu
 
 
 def solid_blocks(files: DataFrame, block_size: int, by: str = "ext", part: str | None = None) -> DataFrame:
-    """files: by, path, size (those that fit). Rows by, block_no, n_items, bytes. Files in a group go by (size, path).
+    """files: by, path, size (those that fit). Rows by, block_no, n_items, bytes. Files in a group go by size; which of
+    equal size comes first changes no block's count or bytes.
 
-    The fold is sequential within a group. `part` names a column that cuts large groups into parts packed on their
-    own, which bounds what a task holds; a part wastes at most one block."""
+    The files of one size are counted first, and whole runs of equal sizes are packed at once: a group costs a step for
+    each distinct size and for each block, and no task holds it. `part` names a column that cuts groups into parts packed
+    on their own; a part wastes at most one block."""
     keys = [by, *([part] if part else [])]
-    items = files.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("size", "path"))).alias("items"))
-    flat = items.select(*keys, F.inline(F.arrays_zip("items", fold_blocks(F.col("items"), block_size).alias("block_no"))))
-    return flat.groupBy(*keys, "block_no").agg(F.count("*").alias("n_items"), F.sum("items.size").alias("bytes"))
+    counts = files.groupBy(*keys, F.col("size").cast("long").alias("size")).agg(F.count("*").alias("n")).filter("size is not null")
+    rows = counts.repartition(*keys).sortWithinPartitions(*keys, "size")
+
+    def fold(batches):
+        held, block, total, items = None, 0, 0, 0
+        for b in batches:
+            out = []
+            columns = [b.column(k).to_pylist() for k in keys]
+            for key, size, n in zip(zip(*columns, strict=True), b.column("size").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if key != held:
+                    if items:
+                        out.append((*held, block, items, total))
+                    held, block, total, items = key, 0, 0, 0
+                while n:
+                    room = n if size <= 0 else (block_size - total) // size
+                    if room <= 0 or total + size > block_size:
+                        if items:
+                            out.append((*held, block, items, total))
+                            block, total, items = block + 1, 0, 0
+                            continue
+                        room = 1  # larger than a block: alone in it
+                    some = min(n, room)
+                    n, items, total = n - some, items + some, total + some * size
+            yield from blocks(out)
+        if items:
+            yield from blocks([(*held, block, items, total)])
+
+    schema = counts.select(*keys).schema.add("block_no", "integer").add("n_items", "long").add("bytes", "long")
+    names, kinds = schema.names, to_arrow_schema(schema).types
+
+    def blocks(out):
+        for i in range(0, len(out), 1 << 16):
+            columns = zip(*out[i : i + (1 << 16)], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
+
+    return rows.mapInArrow(fold, schema)
 
 
 def chunks(files: DataFrame, chunk_size: int) -> DataFrame:

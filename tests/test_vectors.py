@@ -1,5 +1,7 @@
 """Expected vectors of buckets, expressions, layout, runs, encodings and codecs."""
 
+import random
+
 import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -87,6 +89,22 @@ def test_blocks(spark):
     assert [tuple(r)[1:] for r in L.chunks(rows, 10).orderBy("chunk_index").collect()] == [(0, 0, 10), (1, 10, 10), (2, 20, 5)]
 
 
+def test_blocks_of_large_groups(spark):
+    """As a plain fold makes them, from counts of sizes: no task gathers a group's files."""
+    rng = random.Random(4)
+    rows = [(e, f"f{i}", rng.choice([0, 1, 1, 2, 3, 7, 9, 10, 12, 25])) for e, n in (("txt", 3000), ("bin", 41), (None, 1)) for i in range(n)]
+    got = L.solid_blocks(spark.createDataFrame(rows, "ext string, path string, size long"), 10)
+    want: dict = {}
+    for ext in {r[0] for r in rows}:
+        block, total, n = 0, 0, 0
+        for size in sorted(r[2] for r in rows if r[0] == ext):
+            block, total = (block, total + size) if not n or total + size <= 10 else (block + 1, size)
+            n += 1
+            want[ext, block] = (want.get((ext, block), (0,))[0] + 1, total)
+    assert {(r.ext, r.block_no): (r.n_items, r.bytes) for r in got.collect()} == want and got.count() == len(want)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=40))
 def test_run_lengths(spark, codes):
