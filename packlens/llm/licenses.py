@@ -1,9 +1,11 @@
 """Operator 8: license scans by conditional compression.
 
-Lines with a license word are candidate blocks. Around each such word, over line ends and comment marks, every template
-is aligned with the words of the text (case folded, without punctuation): a stretch that lacks and adds at most `most`
-words, in order, and of which the template saves `min_saved`, is confirmed; a line may hold several. What surrounds the stretch does not count. `saved` is the
-share of bytes that the template saves as a zstandard raw dictionary for the stretch. A candidate line outside every
+Lines with a license word are candidate blocks. Around each such word, over line ends and comment marks, the words of the
+text (case folded, without punctuation) are compressed with every template as a zstandard raw dictionary and without one:
+templates that save half of `min_saved` of their own compressed size are ranked by that share, and only these are aligned with the
+words, as an exact check. A stretch that lacks and adds at most `most` words, in order, and of which the template saves
+`min_saved`, is confirmed; a line may hold several. What surrounds the stretch does not count. `saved` is the share of
+bytes that the template saves for the stretch. A candidate line outside every
 confirmed stretch is reported with the template that saves most of the whole line, not confirmed.
 
 Texts are read whole; a row needs no other row, so nothing is shuffled. Null and empty texts have no blocks. Ties go to
@@ -66,13 +68,28 @@ class Templates:
         pairs = sorted((n, x) for n, t in templates.items() for x in ((t,) if isinstance(t, str) else t))
         self.names = [n for n, _ in pairs]
         self.words = [WORD.findall(x.lower()) for _, x in pairs]
-        self.counts = [Counter(w) for w in self.words]
-        dicts = [zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
+        self.counts, self.texts = [Counter(w) for w in self.words], [" ".join(w).encode() for w in self.words]
+        dicts = [zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in self.texts]
         make = lambda d: zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.alone, self.given = make(None), [make(d) for d in dicts]
-
-    def notices(self, text: str, most: int) -> list[tuple[int, int, int]]:
-        """(start, end, template) in characters of the text: stretches within `most`, of each license the longest."""
+        self.own = [len(self.alone.compress(x)) for x in self.texts]
+
+    def likely(self, words: list[str], at: int, most: int, min_saved: float) -> list[tuple[float, int, int, list[str]]]:
+        """(share, template, first word, words): stretches about word `at` for which the template saves half of min_saved
+        of its own compressed size (what surrounds a notice may cost a part of it), the best first."""
+        out = []
+        for k, a in enumerate(self.words):
+            low = max(0, at - len(a) - most)
+            near = words[low : at + len(a) + most + 1]
+            x = " ".join(near).encode()
+            share = (len(self.alone.compress(x)) - len(self.given[k].compress(x))) / self.own[k]
+            if share >= min_saved / 2:
+                out.append((share, k, low, near))
+        return sorted(out, key=lambda r: (-r[0], r[1]))
+
+    def notices(self, text: str, most: int, min_saved: float = 0.2) -> list[tuple[int, int, int]]:
+        """(start, end, template) in characters of the text: stretches that compression finds likely and whose words
+        differ in `most` at most, of each license the longest."""
         found = list(WORD.finditer(text))
         words, begin = [m[0].lower() for m in found], [m.start() for m in found]
         out: dict[tuple[int, int, int], int] = {}
@@ -80,10 +97,8 @@ class Templates:
             at = bisect_right(begin, hint.start()) - 1
             if at < 0:
                 continue
-            for k, (a, count) in enumerate(zip(self.words, self.counts, strict=True)):
-                low = max(0, at - len(a) - most)
-                near = words[low : at + len(a) + most + 1]
-                have = Counter(near)
+            for _, k, low, near in self.likely(words, at, most, min_saved):
+                a, count, have = self.words[k], self.counts[k], Counter(near)
                 if sum(min(n, have[w]) for w, n in count.items()) < len(a) - most:  # more words lack than may
                     continue
                 far, i, j = aligned(a, near, at - low)
@@ -132,7 +147,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
                 found = []
                 if text and HINT.search(text):
                     ends = [m.start() for m in re.finditer("\n", text)]
-                    sure = held.notices(text, most)
+                    sure = held.notices(text, most, min_saved)
                     for i, j, k in sure:
                         lacks, adds = held.differences(text[i:j], k)
                         saved = held.saved(text[i:j], k)

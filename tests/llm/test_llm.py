@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -262,6 +263,15 @@ def test_table_lines_meet():
     assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
+def test_compression_finds_notices():
+    """A notice is found through what its template saves; without that, equal words confirm nothing."""
+    held, notice = licenses.Templates(licenses.TEMPLATES), licenses.TEMPLATES["MPL-2.0"]
+    text = f"some words before it. {notice} And some after it."
+    assert [held.names[k] for _, _, k in held.notices(text, 2)] == ["MPL-2.0"]
+    held.given = [held.alone] * len(held.names)
+    assert held.notices(text, 2) == []
+
+
 def test_wrapped_headers():
     held = licenses.Templates(licenses.TEMPLATES)
     for k, name in enumerate(held.names):
