@@ -282,6 +282,17 @@ def test_wrapped_headers():
     assert licenses.HINT.search(mit) and not held.notices(mit, 2)
 
 
+def test_language_memory_is_bounded(spark):
+    """Texts are sent to the workers once, and held as words in lots of bounded bytes."""
+    texts = pa.array(["x" * 700_000, "y" * 700_000, None, "z" * 3_000_000, *["short"] * 600])
+    cut = list(langid.lots(texts))
+    assert [(a, n) for a, n in cut[:3]] == [(0, 1), (1, 2), (3, 1)] and sum(n for _, n in cut) == len(texts) and max(n for _, n in cut) <= 256
+    df = spark.createDataFrame([(1, "the quick brown fox", "en")], "doc_id long, text string, lang string")
+    out = langid.predicted(df, langid.Model({"en": ["the quick brown fox and the dog"]}, {}), keep=df.columns)
+    assert out._jdf.queryExecution().analyzed().toString().count("__text") == 0
+    assert out.columns == ["doc_id", "text", "lang", "__lang_pred", "__score", "__cross_entropy", "__rejected"] and out.first().text == "the quick brown fox"
+
+
 def test_language(spark, none):
     ship(spark)
     en, de = "the quick brown fox and the lazy dog of this house ", "der schnelle braune fuchs und das faule pferd dieses hauses "
