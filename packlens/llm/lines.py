@@ -5,11 +5,13 @@ length are one distinct line. Distinct lines of `min_chars` or more link when th
 distance / longer length) is at least `similarity` and they meet. Of each connected group the first occurrence
 (smallest id, then line number) stays.
 
-A line's SimHash has 64 bits of votes of its words, and blocks: its words are dealt by hash to as many blocks as there
-are three to six words for each; each block is named by the SimHash and the sum of its own words. A changed word changes
+A line's SimHash has 192 bits: 64 of votes of its words, and 128 of votes of its distinct words, whose frequent ones
+sway fewer bits. It also has blocks: its words are dealt by hash to as many blocks as there
+are three to six words for each; each block is named by the SimHash (64 bits) and the sum of its own words. A changed word changes
 its own block only, so lines that differ in fewer words than they have blocks agree on one (the pigeonhole join); more blocks than
 BLOCKS are not compared. Lines of few words have two blocks, their first and their last words. Lines that meet in a
-block and whose whole SimHashes differ in RADIUS bits at most are verified by edit distance. Edits that touch most words
+block and whose whole SimHashes differ in WHOLE bits at most, RADIUS of the first 64, are verified by edit distance. The
+first 64 bits alone bring lines together that share frequent words only, more of them the more lines there are. Edits that touch most words
 of a line can be missed.
 
 Blocks are ordered by key, size and line. A run of equal keys, however long, gives every pair that may link by size and
@@ -37,8 +39,8 @@ from packlens.llm import textvec as tv
 from packlens.llm.common import components, documents, spent, written
 from packlens.llm.groups import Forest, grouped_links
 
-#: Blocks of a line that are compared, words in one at least, and bits in which two whole SimHashes may differ.
-BLOCKS, WORDS, RADIUS = 6, 3, 16
+#: Blocks of a line that are compared, words in one at least, and bits in which two SimHashes may differ: the first 64 and all 192.
+BLOCKS, WORDS, RADIUS, WHOLE = 6, 3, 18, 56
 #: Lines with one key of which all pairs are listed at once, and partners of a line in a longer run above which it is searched in a group.
 RUN = 32
 #: Lines with one key that a task holds.
@@ -69,8 +71,32 @@ def simhash(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * sums.astype(np.int32) > n[:, None], axis=1).view(np.uint64).ravel()
 
 
+def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Three rows: the first, second and third 64 bits of each line's SimHash. h: hashes of all words; first: the first
+    word's number of each line (one more at the end). Lines have a word at least."""
+    n, bits = len(first) - 1, np.uint64(20)
+    if n > 1 << 20:
+        cuts = [*range(0, n, 1 << 20), n]
+        return np.concatenate([simhashes(h[first[i] : first[j]], first[i : j + 1] - first[i]) for i, j in zip(cuts, cuts[1:])], axis=1)
+    # a word hash keeps 44 bits, however many lines there are: a line's SimHash is its own
+    word = np.sort(np.repeat(np.arange(n, dtype=np.uint64), np.diff(first)) << (np.uint64(64) - bits) | h >> bits)
+    word = word[np.append(True, word[1:] != word[:-1])]
+    starts = np.searchsorted(word >> (np.uint64(64) - bits), np.arange(n, dtype=np.uint64))
+    word = word << bits
+    return np.stack([simhash(h, first[:-1]), simhash(tv.mix(word, 77), starts), simhash(tv.mix(word, 91), starts)])
+
+
+def alike(x, y, radius: int):
+    """Which SimHashes differ in few enough bits. x, y: their first 64 bits, or all three parts of them."""
+    far = np.bitwise_count(x[0] ^ y[0])
+    may = far <= radius
+    if len(x) > 1:
+        may &= sum((np.bitwise_count(a ^ b) for a, b in zip(x[1:], y[1:], strict=True)), far) <= WHOLE + 3 * (radius - RADIUS)
+    return may
+
+
 def blocks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The SimHash of each line, and keys of blocks with the line of each. Lines have a word at least."""
+    """The SimHashes of all lines (simhashes()), and keys of blocks with the line of each. Lines have a word at least."""
     offs = np.cumsum([0, *map(len, lines)])
     data = np.frombuffer(b"".join(lines), np.uint8)
     starts, ends, first = tv.words(offs, data)
@@ -101,7 +127,7 @@ def blocks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for side, at in enumerate((first[some], first[some + 1] - span)):
         keys.append(tv.mix(tv.rolled(h, at, at + span) ^ np.uint64(99 + side), 54))
         owner.append(some)
-    return simhash(h, first[:-1]), np.concatenate(keys), np.concatenate(owner)
+    return simhashes(h, first), np.concatenate(keys), np.concatenate(owner)
 
 
 def levenshtein(a: str, b: str, most: int) -> int:
@@ -252,12 +278,12 @@ class LineIndex:
     def items(self, texts: pd.Series) -> list[tuple[str, np.ndarray, np.uint64]]:
         offs, data = tv.utf8(pa.array(texts, pa.large_string()))
         starts, ends, first = tv.words(offs, data)
-        sims = simhash(tv.rolled(tv.BYTES[data], starts, ends), first[:-1])
-        return list(zip(texts, profiles(list(texts)), sims, strict=True))
+        sims = simhashes(tv.rolled(tv.BYTES[data], starts, ends), first)
+        return list(zip(texts, profiles(list(texts)), sims.T, strict=True))
 
     def hold(self, items: list) -> None:
         self.held = items
-        self.sims = np.array([x[2] for x in items], np.uint64)
+        self.sims = np.array([x[2] for x in items], np.uint64).reshape(-1, 3).T.copy()
         self.lens = np.array([len(x[0]) for x in items], np.int64)
         self.grams = np.array([x[1] for x in items], np.uint8).reshape(-1, PROFILE)
 
@@ -265,7 +291,7 @@ class LineIndex:
         """Numbers of the held lines that link with x. With labels: one at least of each label but `own` that has any."""
         longer = np.maximum(self.lens, len(x[0]))
         most = ((1 - self.similarity) * longer + 1e-9).astype(np.int64)
-        may = (np.abs(self.lens - len(x[0])) <= most) & (np.bitwise_count(self.sims ^ x[2]) <= self.radius)
+        may = (np.abs(self.lens - len(x[0])) <= most) & alike(self.sims, x[2], self.radius)
         may = np.flatnonzero(may if label is None else may & (label != own))
         far = apart(self.grams[may], x[1])
         may, far = may[far <= 6 * most[may]], far[far <= 6 * most[may]]
@@ -310,14 +336,14 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def hashed(batches):
-    """Rows (uid, text): the line's characters, SimHash and block keys."""
+    """Rows (uid, text): the line's characters, SimHash (three parts) and block keys."""
     for b in batches:
         for i in range(0, b.num_rows, 2048):
             uid, texts = b.column("uid").slice(i, 2048), b.column("text").slice(i, 2048).to_pylist()
-            sim, keys, owner = blocks([x.encode() for x in texts])
+            sims, keys, owner = blocks([x.encode() for x in texts])
             turn = np.argsort(owner, kind="stable")
             lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(owner, minlength=len(uid)))).astype(np.int32), pa.array(keys[turn].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([uid, pa.array([len(x) for x in texts], pa.int32()), pa.array(sim.view(np.int64)), lists], ["uid", "size", "sim", "keys"])
+            yield pa.RecordBatch.from_arrays([uid, pa.array([len(x) for x in texts], pa.int32()), *(pa.array(x.view(np.int64)) for x in sims), lists], ["uid", "size", *SIMS, "keys"])
 
 
 def lots(batches, size: int = 200_000):
@@ -332,11 +358,13 @@ def lots(batches, size: int = 200_000):
         yield [np.concatenate([x.column(i).to_numpy() for x in own]) for i in range(own[0].num_columns)]
 
 
+#: The parts of a SimHash.
+SIMS = ["sim", "sim2", "sim3"]
 MET = "side int, a long, b long, part int, key long, size int"
 
 
 def meeting(similarity: float, radius: int, along: bool):
-    """Rows (key, size, uid, sim), sorted: the pairs (a, b) of each run that may link by size and SimHash (side 0); of lines
+    """Rows (key, size, uid, and a SimHash's first part or all), sorted: the pairs (a, b) of each run that may link by size and SimHash (side 0); of lines
     with many such partners in a run, and of runs at the task's borders or too long to hold, edges that connect what may
     link (side 3); with `along`, of all runs of more than RUN. The task's first and last row (side 1 and 2)."""
 
@@ -349,27 +377,28 @@ def meeting(similarity: float, radius: int, along: bool):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in every], ["side", "a", "b", "part", "key", "size"])
 
     def by_sizes(rows, part):
-        key, size, uid, _ = rows
+        key, size, uid = rows[:3]
         met = np.flatnonzero((key[1:] == key[:-1]) & near(size[1:], size[:-1]))
         return listed(3, uid[met], uid[met + 1], part)
 
-    def close(size, sim):
+    def close(size, sims):
         """Places (i, j), i before j, of the pairs of a run that may link."""
         n = len(size)
         end = np.searchsorted(size, size / max(similarity, 1e-9) + 1, "right")
         step = max(1, PAIRS // n)
         for k in range(0, n, step):
             last, own = int(end[min(n, k + step) - 1]), slice(k, min(n, k + step))
-            i, j = np.nonzero(np.bitwise_count(sim[own, None] ^ sim[None, k:last]) <= radius)
-            may = (j > i) & near(size[k + i], size[k + j])
-            yield k + i[may], k + j[may]
+            i, j = np.nonzero(np.bitwise_count(sims[0][own, None] ^ sims[0][None, k:last]) <= radius)
+            i, j = k + i[j > i], k + j[j > i]
+            may = near(size[i], size[j]) & alike([x[i] for x in sims], [x[j] for x in sims], radius)
+            yield i[may], j[may]
 
     def long_run(rows, part):
-        _, size, uid, sim = rows
-        n, sim = len(uid), sim.view(np.uint64)
+        _, size, uid, *sims = rows
+        n, sims = len(uid), [x.view(np.uint64) for x in sims]
         pairs = lambda i, j: listed(0, *np.sort(np.stack([uid[i], uid[j]]), axis=0), part)
         found, partners = [], np.zeros(n, np.int64)
-        for i, j in close(size, sim):
+        for i, j in close(size, sims):
             partners += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
             if found is not None:
                 found.append((i, j))
@@ -378,7 +407,7 @@ def meeting(similarity: float, radius: int, along: bool):
             yield pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
             return
         many, label, forest = partners > RUN, np.arange(n), Forest()
-        for i, j in close(size, sim):
+        for i, j in close(size, sims):
             both = many[i] & many[j]
             yield pairs(i[~both], j[~both])
             x, y = label[i[both]], label[j[both]]
@@ -392,18 +421,18 @@ def meeting(similarity: float, radius: int, along: bool):
             yield listed(3, uid[x], uid[y], part)
 
     def runs(rows, part):
-        key, size, uid, sim = rows
+        key, size, uid, *sims = rows
         if not len(key):
             return
         starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
         count = np.diff(starts, append=len(key))
-        every, (sim, found, n_found) = rows, (sim.view(np.uint64), [], 0)  # bitwise_count takes signed numbers' absolute values
+        every, (sims, found, n_found) = rows, ([x.view(np.uint64) for x in sims], [], 0)  # bitwise_count takes signed numbers' absolute values
         for n in np.unique(count[(count > 1) & (count <= RUN)]).tolist():
             own, (i, j) = starts[count == n], np.triu_indices(n, 1)
             step = max(1, PAIRS // len(i))
             for k in range(0, len(own), step):
                 a, b = ((own[k : k + step, None] + x).ravel() for x in (i, j))
-                may = near(size[a], size[b]) & (np.bitwise_count(sim[a] ^ sim[b]) <= radius)
+                may = near(size[a], size[b]) & alike([x[a] for x in sims], [x[b] for x in sims], radius)
                 found.append(np.stack([uid[a[may]], uid[b[may]]]))
                 n_found += len(found[-1][0])
                 if n_found > PAIRS:
@@ -439,7 +468,7 @@ def meeting(similarity: float, radius: int, along: bool):
                 held, border = [x[-1:] for x in held], True
         if held is not None:
             yield by_sizes(held, part)
-            for side, (key, size, uid, _) in ((1, ends[0]), (2, [x[-1:] for x in held])):
+            for side, (key, size, uid, *_) in ((1, ends[0]), (2, [x[-1:] for x in held])):
                 yield listed(side, uid, uid, part, key[0], size[0])
 
     return walk
@@ -475,7 +504,8 @@ def tested(similarity: float):
 def turn(rows: DataFrame, count: int, similarity: float, radius: int, along: bool = False) -> DataFrame:
     """Written table of what meets (see meeting()); with the links (side 3) across tasks: the last row of one and the first of the next."""
     parts = max(1, -(-count // TASK_KEYS))
-    rows = rows.repartitionByRange(parts, "key", "size", "uid").sortWithinPartitions("key", "size", "uid").select("key", "size", "uid", "sim")
+    sims = [c for c in SIMS if c in rows.columns]
+    rows = rows.repartitionByRange(parts, "key", "size", "uid").sortWithinPartitions("key", "size", "uid").select("key", "size", "uid", *sims)
     met = written(rows.mapInArrow(meeting(similarity, radius, along), MET), "met")
     ends = met.filter("side in (1, 2)").groupBy("part").agg(F.min(F.when(F.col("side") == 1, F.struct("key", "size", "a"))).alias("head"), F.min(F.when(F.col("side") == 2, F.struct("key", "size", "a"))).alias("tail"))
     ends = ends.withColumn("next", F.lead("head").over(Window.partitionBy(F.lit(0)).orderBy("part"))).filter("tail.key = next.key")
@@ -487,9 +517,9 @@ def turn(rows: DataFrame, count: int, similarity: float, radius: int, along: boo
 def similar(every: DataFrame, distinct: DataFrame, similarity: float, radius: int, block_bytes: int) -> DataFrame:
     """Links (a, b) of distinct lines. every: line_rows(), which are deleted when they have been read; distinct: uid."""
     texts = every.filter("text is not null").select("uid", "text")
-    keys = texts.mapInArrow(hashed, "uid long, size int, sim long, keys array<long>").join(distinct.select("uid").hint("merge"), "uid")
-    keys = written(keys.select("uid", "size", "sim", "keys"), "keys")
-    met = turn(keys.select(F.explode("keys").alias("key"), "size", "uid", "sim"), keys.agg(F.sum(F.size("keys"))).first()[0] or 0, similarity, radius)
+    keys = texts.mapInArrow(hashed, "uid long, size int, sim long, sim2 long, sim3 long, keys array<long>").join(distinct.select("uid").hint("merge"), "uid")
+    keys = written(keys.select("uid", "size", *SIMS, "keys"), "keys")
+    met = turn(keys.select(F.explode("keys").alias("key"), "size", "uid", *SIMS), keys.agg(F.sum(F.size("keys"))).first()[0] or 0, similarity, radius)
     spent(keys)
     pairs = written(met.filter("side = 0").select("a", "b").distinct(), "pairs")
     groups = components(met.filter("side = 3").select("a", "b")).select(F.col("id").alias("uid"), F.col("component").alias("grp"))

@@ -234,6 +234,22 @@ def test_lines_of_one_frequent_block_are_all_compared(spark):
     assert len({joined.find(i) for i in range(200)}) == 1 and (1010, 1090) in {(r.a, r.b) for r in met if r.side == 0}
 
 
+def test_lines_that_share_frequent_words_only_do_not_meet(spark):
+    """The first 64 bits alone list both pairs; the whole SimHash lists the one that is near in all parts."""
+    rows = [(4, 40, 0, 0, 0, 0), (5, 40, 1, 3, 0, 0), (5, 40, 2, 0, 5, 9), (5, 40, 3, 1, 2**40 - 1, 2**30 - 1), (6, 40, 4, 0, 0, 0)]
+    met = lines.turn(spark.createDataFrame(rows, "key long, size int, uid long, sim long, sim2 long, sim3 long"), 5, 0.9, lines.RADIUS, False)
+    assert {(r.a, r.b) for r in met.filter("side = 0").collect()} == {(1, 2)}
+
+
+def test_a_simhash_is_the_line_s_own():
+    """Whatever lines are hashed beside it; words that are repeated have one vote in its second and third part."""
+    text = [x.encode() for x in edited_lines()]
+    every, _, _ = lines.blocks(text)
+    assert every.shape == (3, len(text)) and all((lines.blocks([x])[0][:, 0] == every[:, i]).all() for i, x in enumerate(text))
+    one, _, _ = lines.blocks([b"the cat sat on a mat", b"the the the cat sat on a mat the the"])
+    assert one[0, 0] != one[0, 1] and (one[1:, 0] == one[1:, 1]).all()
+
+
 def test_short_lines_are_grouped_exactly(spark):
     df = spark.createDataFrame([(1, "Read more\n\nRead  mode"), (2, "read more\n\n \nread more")], "doc_id long, text string")
     got = {(r.doc_id, r.line): (r.kept, r.size) for r in lines.fuzzy_lines(df).collect()}
