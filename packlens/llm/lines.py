@@ -25,7 +25,7 @@ rows.
 
 from __future__ import annotations
 
-import hashlib
+from hashlib import blake2b
 from os.path import commonprefix
 
 import numpy as np
@@ -319,18 +319,17 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             for i in range(0, len(texts), 1024):
-                ids, line, k1, k2, uid, text = [], [], [], [], [], []
-                for id_, t in zip(b.column("id").slice(i, 1024).to_pylist(), texts[i : i + 1024], strict=True):
-                    for n, x in enumerate(normal_lines(t) if t is not None else ()):
-                        digest = hashlib.blake2b(x.encode(), digest_size=16).digest() if x else None
-                        ids.append(id_)
-                        line.append(n)
-                        uid.append(part + seq)
-                        seq += 1
-                        k1.append(digest and int.from_bytes(digest[:8], "little", signed=True))
-                        k2.append(digest and int.from_bytes(digest[8:], "little", signed=True))
-                        text.append(x if x and len(x) >= min_chars else None)
-                yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(ids, pa.int64()), pa.array(line, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(text, pa.string())], ["uid", "id", "line", "k1", "k2", "text"])
+                some = [normal_lines(t) if t is not None else [] for t in texts[i : i + 1024]]
+                count, text = np.array([*map(len, some)]), [x for own in some for x in own]
+                ids = b.column("id").slice(i, 1024).take(pa.array(np.repeat(np.arange(len(some)), count)))
+                line = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+                uid = part + seq + np.arange(len(text))
+                seq += len(text)
+                digests = b"".join([blake2b(x.encode(), digest_size=16).digest() for x in text])
+                bare = np.array([not x for x in text], bool)
+                k1, k2 = (pa.array(k, mask=bare) for k in np.frombuffer(digests, "<i8").reshape(-1, 2).T.copy())
+                text = [x if x and len(x) >= min_chars else None for x in text]
+                yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), ids.cast(pa.int64()), pa.array(line, pa.int64()), k1, k2, pa.array(text, pa.string())], ["uid", "id", "line", "k1", "k2", "text"])
 
     return written(docs.mapInArrow(cut, "uid long, id long, line long, k1 long, k2 long, text string"), "lines")
 
@@ -514,10 +513,11 @@ def turn(rows: DataFrame, count: int, similarity: float, radius: int, along: boo
     return out
 
 
-def similar(every: DataFrame, distinct: DataFrame, similarity: float, radius: int, block_bytes: int) -> DataFrame:
-    """Links (a, b) of distinct lines. every: line_rows(), which are deleted when they have been read; distinct: uid."""
+def similar(every: DataFrame, copies: DataFrame, similarity: float, radius: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) of distinct lines. every: line_rows(), which are deleted when they have been read; copies: uid of the
+    lines that an equal one stands for. Where few lines are copies, or meet any other, the planner sends those to all."""
     texts = every.filter("text is not null").select("uid", "text")
-    keys = texts.mapInArrow(hashed, "uid long, size int, sim long, sim2 long, sim3 long, keys array<long>").join(distinct.select("uid").hint("merge"), "uid")
+    keys = texts.mapInArrow(hashed, "uid long, size int, sim long, sim2 long, sim3 long, keys array<long>").join(copies, "uid", "left_anti")
     keys = written(keys.select("uid", "size", *SIMS, "keys"), "keys")
     met = turn(keys.select(F.explode("keys").alias("key"), "size", "uid", *SIMS), keys.agg(F.sum(F.size("keys"))).first()[0] or 0, similarity, radius)
     spent(keys)
@@ -525,9 +525,9 @@ def similar(every: DataFrame, distinct: DataFrame, similarity: float, radius: in
     groups = components(met.filter("side = 3").select("a", "b")).select(F.col("id").alias("uid"), F.col("component").alias("grp"))
     groups = written(groups, "groups")
     spent(met)
-    sought = pairs.select(F.explode(F.array("a", "b")).alias("uid")).union(groups.select("uid")).distinct()
-    found = written(texts.join(sought.hint("merge"), "uid"), "sought")
-    spent(every)
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("uid")).union(groups.select("uid")).distinct(), "needed")
+    found = written(texts.join(needed, "uid", "left_semi"), "sought")
+    spent(every, needed)
     both = pairs.join(found.select(F.col("uid").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
     both = both.join(found.select(F.col("uid").alias("b"), F.col("text").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
     links = written(both.mapInArrow(tested(similarity), "a long, b long"), "links")
@@ -545,7 +545,9 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = written(texts.drop("text"), "numbered")  # the texts go when they have been compared
     named = every.filter("k1 is not null")
     distinct = written(named.groupBy("k1", "k2").agg(F.min("uid").alias("uid"), F.count("*").alias("n")), "distinct")
-    found = components(similar(texts, distinct, similarity, radius, block_bytes)).select(F.col("id").alias("uid"), "component")
+    many = distinct.filter("n > 1").select("k1", "k2", F.col("uid").alias("one"))
+    copies = written(named.select("uid", "k1", "k2").join(many, ["k1", "k2"]).filter("uid <> one").select("uid"), "copies")
+    found = components(similar(texts, copies, similarity, radius, block_bytes)).select(F.col("id").alias("uid"), "component")
     groups = written(distinct.join(found.hint("merge"), "uid", "left").select("k1", "k2", F.coalesce("component", "uid").alias("grp")), "groups")
     lines = written(named.select("uid", "id", "line", "k1", "k2").join(groups.hint("merge"), ["k1", "k2"]).select("uid", "id", "line", "grp"), "grouped")
     first = written(lines.groupBy("grp").agg(F.min(F.struct("id", "line", "uid")).alias("first"), F.count("*").alias("size")), "first")
