@@ -9,6 +9,9 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: Bytes of rows that a Python worker gets at once, where the session says nothing else. Arrow's buffers lie outside the
+#: JVM's heap and double as they grow: 10,000 texts of 2 KB take 32 MB.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -29,7 +32,9 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever they run. Once per application."""
+    """Let Python workers import this package, wherever they run (once per application), and get rows in small batches."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _sent:
         return

@@ -309,6 +309,19 @@ def test_language_memory_is_bounded(spark):
     assert out.columns == ["doc_id", "text", "lang", "__lang_pred", "__score", "__cross_entropy", "__rejected"] and out.first().text == "the quick brown fox"
 
 
+def test_workers_get_batches_of_bounded_bytes(spark):
+    """However many rows a batch may have, ten thousand texts do not come at once."""
+    ship(spark)
+    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    try:
+        sizes = lambda batches: (pa.RecordBatch.from_pylist([{"n": b.nbytes}]) for b in batches)
+        seen = [r.n for r in spark.range(0, 10_000, 1, 1).selectExpr("repeat('x', 2000) as text").mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
+    assert sum(seen) > 20_000_000 and max(seen) < 5_000_000
+
+
 def test_language(spark, none):
     ship(spark)
     en, de = "the quick brown fox and the lazy dog of this house ", "der schnelle braune fuchs und das faule pferd dieses hauses "
