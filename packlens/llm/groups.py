@@ -72,23 +72,27 @@ def local_components(items: list, index) -> np.ndarray:
     return label
 
 
-def grouped_links(rows: DataFrame, index) -> DataFrame:
+def grouped_links(rows: DataFrame, index, lot_bytes: int = LOT_BYTES) -> DataFrame:
     """rows: id (long, unique), grp, blocks (int), block (int), text. Edges (a, b) whose components are those of all
     links inside each group. index: items(texts), hold(items), linked(item, label, own): held items that link with the
-    item, which may leave out those of label `own` and, of each other label, all but one."""
+    item, which may leave out those of label `own` and, of each other label, all but one; it may have a components(items)
+    of its own in place of local_components()."""
+    parted = getattr(index, "components", lambda items: local_components(items, index))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["grp", "id"], ignore_index=True)
         items, grp, ids = index.items(pdf["text"]), pdf["grp"].to_numpy(), pdf["id"].to_numpy()
         starts = np.append(0, np.flatnonzero(np.diff(grp)) + 1)
-        part = np.concatenate([ids[i:j][local_components(items[i:j], index)] for i, j in zip(starts, np.append(starts[1:], len(ids)), strict=True)])
+        part = np.concatenate([ids[i:j][parted(items[i:j])] for i, j in zip(starts, np.append(starts[1:], len(ids)), strict=True)])
         return pd.DataFrame({"id": ids, "grp": grp, "blocks": pdf["blocks"], "block": pdf["block"], "part": part})
 
-    # groups of one block share calls, of about LOT_BYTES of text
-    lots = 1 + (rows.filter("blocks = 1").agg(F.sum(F.length("text"))).first()[0] or 0) // LOT_BYTES
+    # groups of one block share calls, of about lot_bytes of text
+    lots = 1 + (rows.filter("blocks = 1").agg(F.sum(F.length("text"))).first()[0] or 0) // lot_bytes
     lot = F.when(F.col("blocks") == 1, F.expr(f"pmod(xxhash64(grp), {lots})")).otherwise(F.lit(-1))
     own = F.when(F.col("blocks") > 1, F.col("grp"))
-    dealt = rows.withColumns({"lot": lot, "own": own})
+    # a fixed number of tasks: few bytes are much work, and adaptive execution would make one task of them
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumns({"lot": lot, "own": own}).repartition(tasks, "lot", "own", "block")
     parts = written(dealt.groupBy("lot", "own", "block").applyInPandas(search, "id long, grp long, blocks int, block int, part long"), "parts")
     links = parts.filter("id <> part").select(F.col("id").alias("a"), F.col("part").alias("b"))
     wide = parts.filter("blocks > 1")

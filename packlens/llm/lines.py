@@ -51,10 +51,14 @@ PAIRS = 1 << 18
 TASK_KEYS = 2_000_000
 #: Bytes of lines in a block of a group.
 BLOCK_BYTES = 1_000_000
+#: Bytes of lines of small groups that are searched in one call, about.
+LOT_BYTES = 50_000
 #: Pairs whose edit distances are sought at once, characters of lines held for that, and pairs a word below which they are sought one by one.
 LOT, CELLS, FEW = 16_384, 1 << 20, 12
 #: Bins of a line's trigram profile, and pairs that are sifted by it at once.
 PROFILE, SIFTED = 1024, 2048
+#: Pairs of a group that are tested first.
+FIRST = 256
 #: For each byte, its bits in eight lanes.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -305,6 +309,31 @@ class LineIndex:
                     seen.add(label[i])
         return np.array(out, np.int64)
 
+    def components(self, items: list) -> np.ndarray:
+        """The component number of each item. All pairs are sifted by arrays, PAIRS at once; the likely ones are tested
+        first, many together, and none that is joined by then."""
+        self.hold(items)
+        n, lens, label = len(items), self.lens, np.arange(len(items))
+        step = max(1, PAIRS // max(1, n))
+        for k in range(0, n, step):
+            own = slice(k, min(n, k + step))
+            i, j = np.nonzero(label[own, None] != label[None, k:])
+            i, j = k + i[j > i], k + j[j > i]
+            most = ((1 - self.similarity) * np.maximum(lens[i], lens[j]) + 1e-9).astype(np.int64)
+            may = (np.abs(lens[i] - lens[j]) <= most) & alike(self.sims[:, i], self.sims[:, j], self.radius)
+            i, j, most = i[may], j[may], most[may]
+            far = np.concatenate([np.zeros(0, np.int64), *(apart(self.grams[i[x : x + SIFTED]], self.grams[j[x : x + SIFTED]]) for x in range(0, len(i), SIFTED))])
+            order = np.argsort(far / np.maximum(most, 1), kind="stable")
+            order, size = order[far[order] <= 6 * most[order]], FIRST
+            while len(order):
+                order = order[label[i[order]] != label[j[order]]]
+                some, order, size = order[:size], order[size:], min(SIFTED, 2 * size)
+                met = all_within([items[x][0] for x in i[some].tolist()], [items[x][0] for x in j[some].tolist()], most[some])
+                for x, y in zip(i[some[met]].tolist(), j[some[met]].tolist(), strict=True):
+                    if label[x] != label[y]:
+                        label[label == max(label[x], label[y])] = min(label[x], label[y])
+        return label
+
 
 def normal_lines(text: str) -> list[str]:
     return [" ".join(line.split()) for line in text.lower().split("\n")]
@@ -515,9 +544,9 @@ def turn(rows: DataFrame, count: int, similarity: float, radius: int, along: boo
 
 def similar(every: DataFrame, copies: DataFrame, similarity: float, radius: int, block_bytes: int) -> DataFrame:
     """Links (a, b) of distinct lines. every: line_rows(), which are deleted when they have been read; copies: uid of the
-    lines that an equal one stands for. Where few lines are copies, or meet any other, the planner sends those to all."""
+    lines that an equal one stands for. No table is sent to all tasks: the plan is the same at every size."""
     texts = every.filter("text is not null").select("uid", "text")
-    keys = texts.mapInArrow(hashed, "uid long, size int, sim long, sim2 long, sim3 long, keys array<long>").join(copies, "uid", "left_anti")
+    keys = texts.mapInArrow(hashed, "uid long, size int, sim long, sim2 long, sim3 long, keys array<long>").join(copies.hint("merge"), "uid", "left_anti")
     keys = written(keys.select("uid", "size", *SIMS, "keys"), "keys")
     met = turn(keys.select(F.explode("keys").alias("key"), "size", "uid", *SIMS), keys.agg(F.sum(F.size("keys"))).first()[0] or 0, similarity, radius)
     spent(keys)
@@ -526,7 +555,7 @@ def similar(every: DataFrame, copies: DataFrame, similarity: float, radius: int,
     groups = written(groups, "groups")
     spent(met)
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("uid")).union(groups.select("uid")).distinct(), "needed")
-    found = written(texts.join(needed, "uid", "left_semi"), "sought")
+    found = written(texts.join(needed.hint("merge"), "uid", "left_semi"), "sought")
     spent(every, needed)
     both = pairs.join(found.select(F.col("uid").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
     both = both.join(found.select(F.col("uid").alias("b"), F.col("text").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
@@ -535,7 +564,7 @@ def similar(every: DataFrame, copies: DataFrame, similarity: float, radius: int,
     spent(pairs, found, groups)
     sizes = written(rows.groupBy("grp").agg(F.ceil(F.sum(F.length("text")) / block_bytes).cast("int").alias("blocks")), "sizes")
     rows = rows.join(sizes.hint("merge"), "grp").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    return links.union(grouped_links(rows, LineIndex(similarity, radius)))
+    return links.union(grouped_links(rows, LineIndex(similarity, radius), LOT_BYTES))
 
 
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.9, min_chars: int = 24, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -546,7 +575,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = every.filter("k1 is not null")
     distinct = written(named.groupBy("k1", "k2").agg(F.min("uid").alias("uid"), F.count("*").alias("n")), "distinct")
     many = distinct.filter("n > 1").select("k1", "k2", F.col("uid").alias("one"))
-    copies = written(named.select("uid", "k1", "k2").join(many, ["k1", "k2"]).filter("uid <> one").select("uid"), "copies")
+    copies = written(named.select("uid", "k1", "k2").join(many.hint("merge"), ["k1", "k2"]).filter("uid <> one").select("uid"), "copies")
     found = components(similar(texts, copies, similarity, radius, block_bytes)).select(F.col("id").alias("uid"), "component")
     groups = written(distinct.join(found.hint("merge"), "uid", "left").select("k1", "k2", F.coalesce("component", "uid").alias("grp")), "groups")
     lines = written(named.select("uid", "id", "line", "k1", "k2").join(groups.hint("merge"), ["k1", "k2"]).select("uid", "id", "line", "grp"), "grouped")

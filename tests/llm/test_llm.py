@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from packlens.llm import bpe, dedup, fingerprint, jaccard, langid, licenses, lines, packing, pii, queries, substrings
+from packlens.llm.groups import local_components
 from packlens.session import ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, th long, rejected string"
@@ -250,6 +251,28 @@ def test_a_simhash_is_the_line_s_own():
     assert one[0, 0] != one[0, 1] and (one[1:, 0] == one[1:, 1]).all()
 
 
+def test_lines_of_a_group_are_searched_together():
+    """The same components as by one search after another, in groups with few links and of near copies."""
+    text = edited_lines()
+    rng = np.random.default_rng(8)
+    head = " ".join(text[0].split()[:4])
+    for own in (text, [text[0][:-3] + f"{i:03d}" for i in range(700)], [f"{head} " + "".join(map(chr, rng.integers(97, 100, 12))) for _ in range(300)], text[:1]):
+        index = lines.LineIndex(0.9, 192)
+        items = index.items(own)
+        want, got = local_components(items, lines.LineIndex(0.9, 192)), index.components(items)
+        first = lambda x: [x.tolist().index(v) for v in x.tolist()]
+        assert first(got) == first(want)
+
+
+def test_lines_are_joined_alike_at_every_size(spark, monkeypatch):
+    """No join sends a small table to all tasks, which would be another plan, with other costs, than at size."""
+    plans, write = [], lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    df = spark.createDataFrame([(i, "\n".join(edited_lines())) for i in range(3)], "doc_id long, text string")
+    assert lines.fuzzy_lines(df).count() == 240
+    assert len(plans) > 10 and not any("Broadcast" in x for x in plans)
+
+
 def test_short_lines_are_grouped_exactly(spark):
     df = spark.createDataFrame([(1, "Read more\n\nRead  mode"), (2, "read more\n\n \nread more")], "doc_id long, text string")
     got = {(r.doc_id, r.line): (r.kept, r.size) for r in lines.fuzzy_lines(df).collect()}
